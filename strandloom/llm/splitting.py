@@ -54,7 +54,8 @@ def _successors(text: str, sizes: np.ndarray, most: int, overlap: int) -> dict[s
     A boundary ``pos`` (in tokens) ends a piece; the next piece begins at ``start``,
     ``overlap`` tokens earlier or at the first character after that, and ends at
     ``next``: of the best kind of boundary that lies in reach, the farthest one.
-    Only boundaries that are a successor of some boundary stay, and 0, the beginning.
+    Only boundaries that are a successor of a natural boundary stay, and 0, the
+    beginning; a stretch without any break has the token boundaries that follow from these.
     """
     n = len(sizes)
     raw = np.frombuffer(text.encode(), np.uint8)
@@ -85,9 +86,12 @@ def _successors(text: str, sizes: np.ndarray, most: int, overlap: int) -> dict[s
 
     every = np.append(0, np.sort(np.concatenate(places[1:])))
     reached = np.unique(follow(every)[1])
-    if (kinds[reached[reached < n]] == _TOKEN).any():
-        every = np.append(0, np.sort(np.concatenate(places)))
-        reached = np.unique(follow(every)[1])
+    # Stretches without a break have token boundaries only where one leads to the next from a natural boundary.
+    bare = reached[(reached < n) & (kinds[np.minimum(reached, n)] == _TOKEN)]
+    while len(bare):
+        further = np.setdiff1d(follow(bare)[1], reached)
+        reached = np.union1d(reached, further)
+        bare = further[(further < n) & (kinds[np.minimum(further, n)] == _TOKEN)]
     pos = np.append(0, reached[reached < n])
     start, to = follow(pos)
     return {"pos": pos, "start": start, "next": to, "pos_char": char_of[begin[pos]], "start_char": char_of[begin[start]], "next_char": char_of[begin[to]], "kind": kinds[np.minimum(to, n)]}
