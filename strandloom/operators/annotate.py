@@ -63,7 +63,7 @@ def reference_counts(reference: DataFrame, annotated: DataFrame, key: str) -> Da
 
 def detected(counts: DataFrame, level: str) -> DataFrame:
     """One row: how many of the reference's keys are detected, by any and by full matches."""
-    n = counts.agg(F.count("*").alias("n_reference"), F.count_if("n_reads > 0").alias("n_any"), F.count_if("n_full > 0").alias("n_full"))
+    n = counts.agg(F.count("*").alias("n_reference"), F.count_if(F.col("n_reads") > 0).alias("n_any"), F.count_if(F.col("n_full") > 0).alias("n_full"))
     return n.select(F.lit(level).alias("level"), "n_reference", "n_any", "n_full", ratio("n_any", "n_reference").alias("any_share"), percent_text("n_full", "n_reference").alias("full_percent"))
 
 

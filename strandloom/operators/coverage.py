@@ -34,8 +34,8 @@ def cumulative_line(totals: DataFrame) -> DataFrame:
     """
     upto = F.sum("bases").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, 0))
     end = F.col("genome_length") - F.col("covered") + upto
-    points = totals.select("depth", "genome_length", F.explode(F.array(end - F.col("bases") + 1, end)).alias("position"))
-    return points.select("depth", "position", "genome_length")
+    ends = totals.select("depth", "bases", "genome_length", end.alias("_end"))
+    return ends.select("depth", F.explode(F.array(F.col("_end") - F.col("bases") + 1, F.col("_end"))).alias("position"), "genome_length")
 
 
 def aligned_fraction(histogram: DataFrame, chroms: DataFrame, least: float = 1e-5) -> DataFrame:

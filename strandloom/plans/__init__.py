@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.plans import loading
+from strandloom.plans import annotate, coverage, loading, paths, sessions, stats, transcriptome
 
-_MODULES = (loading,)
+_MODULES = (loading, coverage, stats, annotate, paths, transcriptome, sessions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
