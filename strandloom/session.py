@@ -6,11 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 SCRATCH_CONF = "spark.checkpoint.dir"
 _written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -28,7 +31,22 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, as --py-files would."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="spark-strandloom-")  # read by this driver only, which serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/{here.name}.zip", "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    spark.sparkContext.addPyFile(f"{folder}/{here.name}.zip")
+    _shipped.add(spark.sparkContext.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,6 +75,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     by :func:`discard` or when the driver ends.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{scratch_dir(spark)}/strandloom-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
