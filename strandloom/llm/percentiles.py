@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandloom.session import materialize
 
 #: Targets with at most so many candidate values left are read off directly.
-FINISH_VALUES = 1000
+FINISH_VALUES = 10_000
 
 
 def weighted_values(df: DataFrame, groups: list[str], metrics: list[str]) -> DataFrame:
