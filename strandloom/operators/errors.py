@@ -60,6 +60,12 @@ def context_errors(pairs: DataFrame) -> DataFrame:
     return counts.withColumn("all", every).select("before", "after", "reference", "query", "n", ratio("n", "all").alias("rate"))
 
 
+def contexts_per_alignment(pairs: DataFrame) -> DataFrame:
+    """(aln_id, context, n): how often each target base between two others comes in each alignment."""
+    rows = _neighbours(pairs).filter("target <> '-' and target_before <> '-' and target_after <> '-'")
+    return rows.groupBy("aln_id", F.concat("target_before", "target", "target_after").alias("context")).agg(F.count("*").alias("n"))
+
+
 def least_context(contexts: DataFrame) -> DataFrame:
     """One row: the number of contexts seen and the count of the rarest one."""
     seen = contexts.groupBy("before", "after", "reference").agg(F.sum("n").alias("n"))

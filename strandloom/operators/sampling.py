@@ -70,6 +70,26 @@ def downsample_groups(df: DataFrame, groups: list[str], key: str, n: int, seed:
     return df.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= n).drop("_nth")
 
 
+def until_every_value(df: DataFrame, key: str, value: str, count: str, n: int, buckets: int = BUCKETS) -> DataFrame:
+    """Keys in draw order until every value has been seen ``n`` times: (key, rank).
+
+    ``df`` has one row per key and value with its ``count``. A value's end is looked for in
+    the order range in which its running sum reaches ``n``; a value that never does asks for
+    all keys.
+    """
+    keys = draw_ranks(df.select(key).distinct(), key, 1, buckets).select(key, "rank")
+    ranked = df.join(keys, key).withColumn("_range", F.expr("rank div 1024"))
+    sums = ranked.groupBy(value, "_range").agg(F.sum(count).alias("_sum"))
+    w = Window.partitionBy(value).orderBy("_range")
+    ends = sums.withColumn("_upto", F.sum("_sum").over(w)).filter(F.col("_upto") >= n).groupBy(value).agg(F.min_by(F.struct("_range", (F.col("_upto") - F.col("_sum")).alias("before")), "_range").alias("end"))
+    last = ranked.join(ends.select(value, F.col("end._range").alias("_range"), F.col("end.before").alias("_before")), [value, "_range"])
+    inside = F.col("_before") + F.sum(count).over(Window.partitionBy(value).orderBy("rank"))
+    stops = last.withColumn("_upto", inside).filter(F.col("_upto") >= n).groupBy(value).agg(F.min("rank").alias("stop"))
+    every = df.select(value).distinct().join(stops, value, "left").agg(F.max("stop").alias("stop"), F.count_if(F.col("stop").isNull()).alias("open"))
+    stop = every.select(F.when(F.col("open") == 0, F.col("stop")).otherwise(F.lit(2**62)).alias("stop"))
+    return keys.filter(F.col("rank") <= stop.scalar())
+
+
 def within_budget(df: DataFrame, key: str, size: str, budget: int, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
     """Rows in draw order until the running sum of ``size`` reaches ``budget``; the row that reaches it is the last.
 

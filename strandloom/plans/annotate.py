@@ -89,6 +89,15 @@ def bias_read_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _annotated(spark, sf_dir).filter("matching_exon_count >= 2 and read_length >= 100").select("read_name", "gene", "tx", "matching_exon_count", "read_length")
 
 
+def contained_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotated reads whose range (1-based, inclusive) lies within their transcript."""
+    a = _annotated(spark, sf_dir).filter("tx is not null")
+    part = lambda i: F.regexp_extract("rng", r"^(.+):([0-9]+)-([0-9]+)$", i)
+    a = a.select("read_name", "tx", part(1).alias("chrom"), (part(2).try_cast("long") - 1).alias("start_pos"), part(3).try_cast("long").alias("end_pos"))
+    t = table(spark, sf_dir, "gpd").select(F.upper("tx").alias("tx"), "chrom", "tx_start", "tx_end")
+    return a.join(t, ["tx", "chrom"]).filter("start_pos >= tx_start and end_pos <= tx_end").select("read_name", "tx", "start_pos", "end_pos")
+
+
 def _rarefaction(key: str, full: bool, min_depth: int, spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.annotations(spark, sf_dir)
     value = F.when(F.col("match_type") == "full", F.col(key)) if full else F.col(key)
@@ -121,7 +130,7 @@ def length_budget_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     gene_counts, ref_gene_counts, ref_detected, top_genes, top_transcripts, gene_tx_grouping, annot_lengths, annot_length_hist, tx_length_hist, exon_size_distro, exon_count_hist, read_classes,
-    known_isoform_filter, bias_read_filter, *map(_curve, _CURVES), bias_downsample, gene_downsample, length_budget_sample,
+    known_isoform_filter, bias_read_filter, contained_reads, *map(_curve, _CURVES), bias_downsample, gene_downsample, length_budget_sample,
 )
 
 _A = "a AS (SELECT DISTINCT * EXCLUDE (load_ts) REPLACE (upper(trim(gene, ' ' || chr(9))) AS gene, upper(trim(tx, ' ' || chr(9))) AS tx) FROM annotbest)"
@@ -136,17 +145,9 @@ def _hist(source: str, length: str, count: str, kind: str) -> str:
 SELECT 'exons', CASE WHEN {count} > 20 THEN '>20' ELSE CAST({count} AS VARCHAR) END AS bin, {kind}, count(*) AS n FROM {source} WHERE {count} IS NOT NULL GROUP BY ALL"""
 
 
-def _mix(key: str, sample: str) -> str:
-    return f"((({key} % {sampling.PRIME}) * 7919 + {sample} * 104729 + 12345) % {sampling.PRIME} * 48271 % {sampling.PRIME})"
-
-
 def _rare(key: str, full: bool, depth: int) -> str:
     value = f"CASE WHEN match_type = 'full' THEN {key} END" if full else key
-    return f"""WITH {_A}, r AS (SELECT s, {value} AS v, row_number() OVER (PARTITION BY s ORDER BY {_mix("read_line", "s")}, read_line) AS rk FROM a, range({SAMPLES}) AS t(s)),
-f AS (SELECT s, rk FROM r WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY s, v ORDER BY rk) = {depth}),
-x AS (SELECT unnest({sampling.GRID[:40]}) AS x UNION SELECT count(*) FROM a), c AS (SELECT x, s, count(rk) AS n FROM x CROSS JOIN range({SAMPLES}) AS t(s) LEFT JOIN f USING (s) WHERE x <= (SELECT count(*) FROM a) AND (rk IS NULL OR rk <= x) GROUP BY ALL),
-z AS (SELECT x, s, coalesce(n, 0) AS n FROM (SELECT x, s FROM x CROSS JOIN range({SAMPLES}) AS t(s) WHERE x <= (SELECT count(*) FROM a)) LEFT JOIN c USING (x, s))
-SELECT x, list_sort(list(n))[{int(SAMPLES * 0.05) + 1}] AS lower, quantile_cont(n, 0.5) AS median, list_sort(list(n))[{int(SAMPLES * 0.95) + 1}] AS upper FROM z GROUP BY x"""
+    return f"WITH {_A}, ra AS (SELECT read_line, {value} AS v FROM a), {sql.rarefaction('ra', 'read_line', 'v', SAMPLES, depth)}"
 
 
 ORACLES = {
@@ -165,8 +166,9 @@ ORACLES = {
     "read_classes": f"WITH {_CLASSES} SELECT * FROM cl",
     "known_isoform_filter": f"WITH {_CLASSES} SELECT read_name, read_exons, read_length FROM b WHERE read_name NOT IN (SELECT read_name FROM cl WHERE class IN ('full', 'subset'))",
     "bias_read_filter": f"WITH {_A} SELECT read_name, gene, tx, matching_exon_count, read_length FROM a WHERE gene IS NOT NULL AND matching_exon_count >= 2 AND read_length >= 100",
+    "contained_reads": f"WITH {_A}, p AS (SELECT read_name, tx, regexp_extract(rng, '^(.+):([0-9]+)-([0-9]+)$', 1) AS chrom, TRY_CAST(regexp_extract(rng, '^(.+):([0-9]+)-([0-9]+)$', 2) AS BIGINT) - 1 AS start_pos, TRY_CAST(regexp_extract(rng, '^(.+):([0-9]+)-([0-9]+)$', 3) AS BIGINT) AS end_pos FROM a WHERE gene IS NOT NULL AND tx IS NOT NULL) SELECT read_name, p.tx, start_pos, end_pos FROM p JOIN gpd ON p.tx = upper(gpd.tx) AND p.chrom = gpd.chrom WHERE start_pos >= tx_start AND end_pos <= tx_end",
     **{k: _rare(*v) for k, v in _CURVES.items()},
-    "bias_downsample": f"WITH {_A} SELECT read_line, read_name, tx FROM a WHERE gene IS NOT NULL ORDER BY {_mix('read_line', '0')}, read_line LIMIT 500000",
-    "gene_downsample": f"WITH {_A} SELECT read_line, read_name, gene FROM a WHERE gene IS NOT NULL QUALIFY row_number() OVER (PARTITION BY gene ORDER BY {_mix('read_line', '0')}, read_line) <= 100",
-    "length_budget_sample": f"WITH {_A}, b AS (SELECT read_line, read_length, sum(read_length) OVER (ORDER BY {_mix('read_line', '0')}, read_line) - read_length AS upto FROM a WHERE gene IS NOT NULL AND read_length > 0) SELECT read_line, read_length FROM b WHERE upto < 1000000",
+    "bias_downsample": f"WITH {_A} SELECT read_line, read_name, tx FROM a WHERE gene IS NOT NULL ORDER BY {sql.mix('read_line', '0')}, read_line LIMIT 500000",
+    "gene_downsample": f"WITH {_A} SELECT read_line, read_name, gene FROM a WHERE gene IS NOT NULL QUALIFY row_number() OVER (PARTITION BY gene ORDER BY {sql.mix('read_line', '0')}, read_line) <= 100",
+    "length_budget_sample": f"WITH {_A}, b AS (SELECT read_line, read_length, sum(read_length) OVER (ORDER BY {sql.mix('read_line', '0')}, read_line) - read_length AS upto FROM a WHERE gene IS NOT NULL AND read_length > 0) SELECT read_line, read_length FROM b WHERE upto < 1000000",
 }

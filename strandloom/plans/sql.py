@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from strandloom.operators.sampling import GRID, PRIME
+
 ALN = """aln AS (SELECT DISTINCT aln_id, qname, flag, qlen, q_start, q_end, chrom, strand, t_start, t_end, aligned_bases FROM alndata)"""
 
 SPANS = """spans AS (SELECT aln_id, qname, chrom, t_start AS s, t_end AS e FROM aln WHERE chrom IS NOT NULL AND t_start < t_end)"""
@@ -38,3 +40,17 @@ BEST = """best AS (SELECT * FROM aln WHERE qname IS NOT NULL AND aligned_bases >
 
 def length_bin(column: str) -> str:
     return f"CASE WHEN {column} > 4000 THEN '>4000' ELSE CAST(CAST(ceil({column} / 500.0) * 500 AS BIGINT) AS VARCHAR) END"
+
+
+def mix(key: str, sample: str) -> str:
+    """The draw order of strandloom.operators.sampling."""
+    return f"((({key} % {PRIME}) * 7919 + {sample} * 104729 + 12345) % {PRIME} * 48271 % {PRIME})"
+
+
+def rarefaction(source: str, key: str, value: str, samples: int, depth: int) -> str:
+    """CTEs and the query of a rarefaction curve over ``source``."""
+    return f"""rr AS (SELECT s, {value} AS v, row_number() OVER (PARTITION BY s ORDER BY {mix(key, "s")}, {key}) AS rk FROM {source}, range({samples}) AS t(s)),
+rf AS (SELECT s, rk FROM rr WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY s, v ORDER BY rk) = {depth}),
+rx AS (SELECT x FROM (SELECT unnest({GRID[:40]}) AS x UNION SELECT count(*) FROM {source}) WHERE x <= (SELECT count(*) FROM {source})),
+rz AS (SELECT x, t.s, (SELECT count(*) FROM rf WHERE rf.s = t.s AND rk <= x) AS n FROM rx CROSS JOIN range({samples}) AS t(s))
+SELECT x, list_sort(list(n))[{int(samples * 0.05) + 1}] AS lower, quantile_cont(n, 0.5) AS median, list_sort(list(n))[{int(samples * 0.95) + 1}] AS upper FROM rz GROUP BY x"""

@@ -47,7 +47,12 @@ def name_feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.name_feature_counts(inputs.lengths(spark, sf_dir), "run_no")
 
 
-QUERIES = (alignment_stats, read_type_hist, aligned_fraction_box, platform_summary, cell_summary, cell_rollup, length_stats, run_compare, name_feature_counts)
+def read_length_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read lengths of each run with their counts."""
+    return inputs.lengths(spark, sf_dir).filter("qlen is not null").groupBy("run_no", "qlen").agg(F.count("*").alias("n"))
+
+
+QUERIES = (read_length_table, alignment_stats, read_type_hist, aligned_fraction_box, platform_summary, cell_summary, cell_rollup, length_stats, run_compare, name_feature_counts)
 
 _L = "l AS (SELECT DISTINCT * EXCLUDE (load_ts) FROM lengths)"
 
@@ -81,6 +86,7 @@ c AS (SELECT cell, count(*) AS reads, count(DISTINCT m) AS molecules, count(DIST
 _ROLL = ", ".join(f"max({c}) AS max_{c}, round(avg({c}), 6) AS avg_{c}, min({c}) AS min_{c}" for c in ("reads", "molecules", "molecules_aligned"))
 
 ORACLES = {
+    "read_length_table": f"WITH {_L} SELECT run_no, qlen, count(*) AS n FROM l WHERE qlen IS NOT NULL GROUP BY ALL",
     "alignment_stats": f"WITH {_L}, {_stats('')} SELECT stat, value FROM (UNPIVOT st ON COLUMNS(*) INTO NAME stat VALUE value)",
     "read_type_hist": f"WITH {_L} SELECT {sql.length_bin('qlen')} AS bin, read_type, count(*) AS n FROM l WHERE qlen IS NOT NULL GROUP BY ALL",
     "aligned_fraction_box": f"WITH {_L}, x AS (SELECT {sql.length_bin('qlen')} AS bin, (total_bases * 10000) // qlen AS share FROM l WHERE qlen > 0 AND read_type <> 'unaligned' AND total_bases IS NOT NULL) SELECT bin, quantile_cont(share, 0.25) AS q1, quantile_cont(share, 0.5) AS median, quantile_cont(share, 0.75) AS q3 FROM x GROUP BY 1",

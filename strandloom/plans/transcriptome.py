@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.operators import annotate, bias, errors, intervals, junctions, loci
+from strandloom.operators import annotate, bias, errors, intervals, junctions, loci, novel, sampling
 from strandloom.plans import fixtures, sql
 from strandloom.sources import formats
 
 #: Tile of the exon joins: a few exons long on these coordinates.
 TILE = 512
 MIN_DEPTH = 2
+CONTEXT_STOP = 50
 
 
 def best_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,41 @@ def bias_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("bin", *[F.round(F.col("q")[i], 5).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
 
 
+def bias_bins_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bias of reads within their transcript, without the transcripts' uncovered ends."""
+    a = best_annotation(spark, sf_dir)
+    return bias.bias_bins(fixtures.read_exons(spark, sf_dir), fixtures.exons(spark, sf_dir), a, covered_ends=True, overflow=False)
+
+
+def _keyed_locus_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _locus_reads(spark, sf_dir).select(F.expr("cast(substr(read_name, 2) as bigint)").alias("read"), "locus")
+
+
+def rarefaction_locus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.rarefaction(_keyed_locus_reads(spark, sf_dir), "read", "locus", 10)
+
+
+def locus_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 100 reads of each locus."""
+    return sampling.downsample_groups(_keyed_locus_reads(spark, sf_dir), ["locus"], "read", 100)
+
+
+def context_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments in draw order until every target context has been seen 50 times."""
+    w = errors.contexts_per_alignment(fixtures.pairs(spark, sf_dir))
+    return sampling.until_every_value(w, "aln_id", "context", "n", CONTEXT_STOP)
+
+
+def novel_isoforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fresh, _ = novel.novel_transcriptome(fixtures.read_exons(spark, sf_dir), fixtures.exons(spark, sf_dir), TILE)
+    return fresh.withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
+
+
+def novel_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found = novel.novel_transcriptome(fixtures.read_exons(spark, sf_dir), fixtures.exons(spark, sf_dir), TILE)
+    return found.withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
+
+
 def error_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.error_matrix(fixtures.pairs(spark, sf_dir))
 
@@ -102,7 +138,7 @@ def genepred_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    best_annotation, junction_distances, junvar_rollup, nr_isoforms, locus_reads, loci_counts, novel_loci_named, locus_coverage, locus_components, bias_bins, bias_box, error_matrix, error_stats, error_ratios,
+    best_annotation, junction_distances, junvar_rollup, nr_isoforms, locus_reads, loci_counts, novel_loci_named, locus_coverage, locus_components, bias_bins, bias_box, bias_bins_trimmed, rarefaction_locus, locus_downsample, context_sample, novel_isoforms, novel_loci, error_matrix, error_stats, error_ratios,
     context_errors, least_context, exon_merge_by_strand, bed12_export, genepred_roundtrip,
 )
 
@@ -141,7 +177,23 @@ cx AS (SELECT tb AS before, ta AS after, target AS reference, query, count(*) AS
 _BED = f"""{fixtures.READ_EXONS}, bx AS (SELECT read_name, chrom, strand, min(s) AS lo, max(e) AS hi, count(*) AS c, string_agg(CAST(s AS VARCHAR), ',' ORDER BY s) || ',' AS st, string_agg(CAST(e AS VARCHAR), ',' ORDER BY s) || ',' AS en FROM v_read_exons GROUP BY read_name, chrom, strand),
 bo AS (SELECT v.read_name, string_agg(CAST(e - s AS VARCHAR), ',' ORDER BY s) || ',' AS sizes, string_agg(CAST(s - lo AS VARCHAR), ',' ORDER BY s) || ',' AS starts FROM v_read_exons v JOIN bx ON v.read_name = bx.read_name GROUP BY v.read_name)"""
 
+_TRIM = f"""{_BEST}, rr AS (SELECT read_name, min(s) AS rs, max(e) AS re FROM v_read_exons GROUP BY read_name), tt AS (SELECT tx, min(s) AS ts, max(e) AS te FROM v_exons GROUP BY tx),
+gd AS (SELECT read_name, tx FROM ba JOIN rr USING (read_name) JOIN tt USING (tx) WHERE matching_exon_count >= 2 AND read_length >= 100 AND rs >= ts AND re <= te), cn AS (SELECT tx, count(*) AS reads FROM gd GROUP BY tx HAVING count(*) >= 5),
+px AS (SELECT tx, strand, s, e, sum(e - s) OVER (PARTITION BY tx ORDER BY s) - (e - s) AS off, sum(e - s) OVER (PARTITION BY tx) AS len FROM v_exons),
+p0 AS (SELECT px.tx, px.strand, len, off + unnest(range(greatest(r.s, px.s) - px.s, least(r.e, px.e) - px.s)) AS p FROM v_read_exons r JOIN gd USING (read_name) JOIN cn ON gd.tx = cn.tx JOIN px ON px.tx = gd.tx AND r.s < px.e AND px.s < r.e),
+p1 AS (SELECT tx, CASE WHEN strand = '-' THEN len - 1 - p ELSE p END AS p FROM p0), le AS (SELECT tx, min(p) AS lo, max(p) + 1 - min(p) AS len FROM p1 GROUP BY tx),
+pd AS (SELECT tx, 1 + (100 * (p - lo)) // len AS bin, count(*) AS n FROM p1 JOIN le USING (tx) GROUP BY ALL), ev AS (SELECT tx, reads, len, unnest(range(1, 101)) AS bin FROM cn JOIN le USING (tx))
+SELECT tx, bin, round(coalesce(n / nullif(((bin * len + 99) // 100 - ((bin - 1) * len + 99) // 100) * reads, 0), 0), 6) AS value FROM ev LEFT JOIN pd USING (tx, bin)"""
+
+_KEYED = f"{_LOCI}, kl AS (SELECT CAST(substr(read_name, 2) AS BIGINT) AS read, CAST(locus AS BIGINT) AS locus FROM li)"
+
 ORACLES = {
+    "bias_bins_trimmed": f"WITH {_TRIM}",
+    "locus_downsample": f"WITH {_KEYED} SELECT read, locus FROM kl QUALIFY row_number() OVER (PARTITION BY locus ORDER BY {sql.mix('read', '0')}, read) <= 100",
+    "rarefaction_locus": f"WITH {_KEYED}, {sql.rarefaction('kl', 'read', 'locus', 10, 1)}",
+    "context_sample": f"""WITH {_ERR}, ca AS (SELECT aln_id, tb || target || ta AS context, count(*) AS n FROM nb WHERE target <> '-' AND tb <> '-' AND ta <> '-' GROUP BY ALL),
+rk AS (SELECT aln_id, row_number() OVER (ORDER BY {sql.mix('aln_id', '0')}, aln_id) AS rank FROM (SELECT DISTINCT aln_id FROM ca)), cu AS (SELECT context, rank, sum(n) OVER (PARTITION BY context ORDER BY rank) AS upto FROM ca JOIN rk USING (aln_id)),
+st AS (SELECT context, min(rank) FILTER (upto >= {CONTEXT_STOP}) AS stop FROM cu GROUP BY context) SELECT aln_id, rank FROM rk WHERE rank <= (SELECT CASE WHEN count(*) = count(stop) THEN max(stop) ELSE 4611686018427387904 END FROM st)""",
     "best_annotation": f"WITH {_BEST} SELECT * FROM ba",
     "junction_distances": f"WITH {_JUNC} SELECT * FROM jd",
     "junvar_rollup": f"WITH {_JUNC} SELECT CAST(coalesce(sum(n) FILTER (distance < 0), 0) AS BIGINT) AS truncated, CAST(coalesce(sum(n) FILTER (distance = 0), 0) AS BIGINT) AS perfect, CAST(coalesce(sum(n) FILTER (distance > 0), 0) AS BIGINT) AS elongated FROM jd",

@@ -59,7 +59,10 @@ def scratch_dir(spark: SparkSession) -> str:
     found = spark.conf.get(SCRATCH_CONF, None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    own = spark.sparkContext.getCheckpointDir()
+    if own:
+        return own.rstrip("/")
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError(f"set {SCRATCH_CONF} to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-strandloom-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)

@@ -52,3 +52,12 @@ def test_sessions_agree_with_islands(spark):
     a = sorted((r["u"], r["session_start"], r["n"]) for r in ingest.sessions(df, "u", "ts").collect())
     b = sorted((r["u"], r["session_start"], r["n"]) for r in ingest.islands_in_time(df, "u", "ts", 30).collect())
     assert a == b == [(1, at(0), 2), (1, at(70), 1), (2, at(5), 2)]
+
+
+def test_analyze_and_compare(spark, sf, tmp_path):
+    from strandloom.__main__ import analyze, compare
+
+    out = str(tmp_path / "r")
+    analyze(spark, sf, out, ["alignment_stats", "top_genes"])
+    (row,) = compare(spark, [out]).collect()
+    assert row["TOTAL_READS"] == row["ALIGNED_READS"] + row["UNALIGNED_READS"] > 0
