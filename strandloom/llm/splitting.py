@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.tokens import encoder, vocabulary_path
-from strandloom.session import materialize
+from strandloom.session import discard, materialize
 
 #: Kinds of boundary, the best last; a token boundary is always possible.
 KINDS = ("token", "word", "sentence", "line", "paragraph", "section")
@@ -141,8 +141,11 @@ def greedy_cuts(table: DataFrame) -> DataFrame:
     met = table.filter("pos = 0").select("doc", "h", "pos")
     while not steps.isEmpty():
         further = met.alias("a").join(steps.alias("b"), [*on, F.col("a.pos") == F.col("b.pos")]).select("b.doc", "b.h", F.col("b.next").alias("pos"))
+        before = met, steps
         met = materialize(met.unionByName(further), "met")
         steps = materialize(steps.alias("a").join(steps.alias("b"), [*on, F.col("a.next") == F.col("b.pos")]).select("a.doc", "a.h", "a.pos", "b.next"), "steps")
+        for old in before:
+            discard(old)
     return table.alias("a").join(met.alias("b"), [*on, F.col("a.pos") == F.col("b.pos")], "left_semi")
 
 
