@@ -60,11 +60,8 @@ def strata(totals: DataFrame, least: int = 100_000) -> DataFrame:
 
 def features(exons: DataFrame, transcripts: DataFrame, chroms: DataFrame) -> DataFrame:
     """Disjoint exon, intron and intergenic ranges: (chrom, start, end, kind). Strand is ignored."""
-    chrom = ["chrom"]
     genome = chroms.select("chrom", F.lit(0).cast("long").alias("start"), F.col("chrom_length").alias("end"))
-    parts = {"exon": intervals.merge(exons, chrom), "intron": intervals.subtract(transcripts, exons, chrom), "intergenic": intervals.subtract(genome, transcripts, chrom)}
-    tagged = [d.withColumn("kind", F.lit(k)) for k, d in parts.items()]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    return intervals.layers({"exon": exons, "intron": transcripts, "intergenic": genome}, ["chrom"])
 
 
 def depth_in_features(segments: DataFrame, ranges: DataFrame, tile: int = 1 << 14) -> DataFrame:

@@ -54,7 +54,7 @@ def _sweep(cut: DataFrame, keys: list[str], weights: dict[str, Column]) -> DataF
     steps = bounds.groupBy(*keys, "_tile", F.col("_b.at").alias("start")).agg(*[F.sum(F.col(n) * F.col("_b.sign")).alias(n) for n in weights])
     changed = reduce(lambda a, b: a | b, [F.col(n) != 0 for n in weights])
     w = Window.partitionBy(*keys, "_tile").orderBy("start")
-    return steps.filter(changed).select(*keys, "start", F.lead("start").over(w).alias("end"), *[F.sum(n).over(w).alias(n) for n in weights]).filter("end is not null")
+    return steps.filter(changed).select(*keys, "_tile", "start", F.lead("start").over(w).alias("end"), *[F.sum(n).over(w).alias(n) for n in weights]).filter("end is not null")
 
 
 def depth(df: DataFrame, keys: list[str], weight: Column | None = None, tile: int = TILE) -> DataFrame:
@@ -76,6 +76,24 @@ def subtract(a: DataFrame, b: DataFrame, keys: list[str], tile: int = TILE) -> D
     return stitch(segments.filter("in_a > 0 and in_b = 0"), keys, [], tile)
 
 
+def layers(sources: dict[str, DataFrame], keys: list[str], tile: int = TILE) -> DataFrame:
+    """Disjoint pieces (keys, start, end, kind): each place belongs to the first source that covers it.
+
+    One sweep over all sources; neighbouring pieces of one kind are joined.
+    """
+    names = list(sources)
+    tagged = [_clean(d.select(*keys, "start", "end"), keys).withColumn("_of", F.lit(n)) for n, d in sources.items()]
+    rows = reduce(DataFrame.unionByName, tagged).distinct()
+    segments = _sweep(cut_at_tiles(rows, tile), keys, {f"_n{i}": (F.col("_of") == n).cast("int") for i, n in enumerate(names)})
+    kind = F.coalesce(*[F.when(F.col(f"_n{i}") > 0, F.lit(n)) for i, n in enumerate(names)])
+    pieces = segments.select(*keys, "_tile", "start", "end", kind.alias("kind")).filter("kind is not null")
+    w = Window.partitionBy(*keys, "_tile").orderBy("start")
+    goes_on = (F.lag("end").over(w) == F.col("start")) & (F.lag("kind").over(w) == F.col("kind"))
+    runs = pieces.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    joined = runs.groupBy(*keys, "_tile", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("kind").alias("kind"))
+    return stitch(joined, keys, ["kind"], tile)
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], tile: int) -> DataFrame:
     """Pairs of overlapping intervals; ``right`` has its bounds as r_start and r_end.
 

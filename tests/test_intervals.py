@@ -48,6 +48,14 @@ def test_depth_merge_subtract_against_positions(spark, tile):
     assert rows_of(intervals.subtract(da, db, ["chrom"], tile), "chrom", "start", "end") == [r[:3] for r in runs(left)]
 
 
+@pytest.mark.parametrize("tile", [7, 64])
+def test_layers_against_positions(spark, tile):
+    a, b, c = data(20, 11, 200), data(15, 12), [(0, "a", 0, 400, ""), (1, "b", 10, 20, "")]
+    got = intervals.layers({k: spark.createDataFrame(v, SCHEMA) for k, v in (("x", a), ("y", b), ("z", c))}, ["chrom"], tile)
+    want = {p: "z" for p in cover(c)} | {p: "y" for p in cover(b)} | {p: "x" for p in cover(a)}
+    assert rows_of(got, "chrom", "start", "end", "kind") == runs(want)
+
+
 def test_weighted_depth_equals_copies(spark):
     rows = good(data(40, 3))
     df = spark.createDataFrame(rows, SCHEMA).withColumn("w", F.col("id") % 3 + 1)
