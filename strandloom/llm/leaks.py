@@ -175,6 +175,12 @@ def ordinary_words(items: DataFrame, text: str) -> np.ndarray:
     return bit_filter(found.select(F.xxhash64("w").alias("key")))
 
 
+def _without(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """Rows that have no equal in ``found``; nulls are equal."""
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in on]
+    return rows.alias("a").join(found.alias("b"), same, "left_anti")
+
+
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, size: int = WINDOW) -> DataFrame:
     """Document and item pairs that share a template window: (doc_id, item_id, kind, windows).
 
@@ -186,7 +192,7 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
 
     Defined cases: null and empty texts and items of fewer than ``size`` words match
     nothing; of items with equal passages each counts; repeated rows of one id count
-    as one document; empty tables give no rows; further columns are ignored.
+    as one document; a null id is an id like others; empty tables give no rows; further columns are ignored.
     """
     lower = ordinary_words(items, item_text)
     targets = materialize(template_windows(items, item_id, item_text, lower, size).distinct(), "items")
@@ -201,6 +207,6 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     forward = pairs.groupBy(*line, "a").agg(F.countDistinct("b").alias("n"))
     backward = pairs.groupBy(*line, "b").agg(F.countDistinct("a").alias("n"))
     broken = forward.select(*line, "n").unionByName(backward.select(*line, "n")).filter("n > 1").select(*line).distinct()
-    moved = hits.filter("not same").select(*line, "pos").join(broken, line, "left_anti")
-    moved = moved.groupBy("id", "item").agg(F.countDistinct("pos").alias("windows")).join(exact, ["id", "item"], "left_anti").withColumn("kind", F.lit("reparameterised"))
+    moved = _without(hits.filter("not same").select(*line, "pos"), broken, line)
+    moved = _without(moved.groupBy("id", "item").agg(F.countDistinct("pos").alias("windows")), exact, ["id", "item"]).withColumn("kind", F.lit("reparameterised"))
     return exact.unionByName(moved).select(F.col("id").alias(doc_id), F.col("item").alias(item_id), "kind", "windows")

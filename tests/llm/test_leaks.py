@@ -83,3 +83,10 @@ def test_random_words_against_brute_force(spark):
     items = [(i, text(rng.randrange(5, 30))) for i in range(40)]
     docs = [(d, text(20) + " " + rng.choice(items)[1] + " " + text(15)) for d in range(60)]
     assert {k for k, v in run(spark, docs, items).items() if v == "exact"} == brute(docs, items)
+
+
+def test_further_columns_with_clashing_names(spark):
+    d = spark.createDataFrame([(1, ITEM, "x", 5, 2, "k"), (1, ITEM, "x", 5, 2, "k"), (None, ITEM, "y", None, 3, None)], "doc_id long, text string, item string, key long, pos long, id string")
+    e = spark.createDataFrame([(10, ITEM, 7, "z"), (None, ITEM, None, None)], "item_id long, text string, doc_id long, passage string")
+    got = leaks.leaks(d, "doc_id", "text", e, "item_id", "text").collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"] or 0, r["kind"]) for r in got) == [(0, 0, "exact"), (0, 10, "exact"), (1, 0, "exact"), (1, 10, "exact")]
