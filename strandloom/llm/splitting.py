@@ -166,7 +166,10 @@ def split_texts(docs: DataFrame, doc_id: str, text: str, most: int = 2048, overl
     cuts = greedy_cuts(successor_table(docs, doc_id, text, most, overlap, vocabulary))
     cuts = cuts.withColumn("piece_no", F.row_number().over(Window.partitionBy("doc", "h").orderBy("pos")) - 1)
     rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text"), F.xxhash64(text).alias("dh"))
-    both = rows.join(cuts, F.col("d").eqNullSafe(F.col("doc")) & (F.col("dh") == F.col("h")), "left")
+    # Texts of at most ``most`` bytes can't be cut; they pass by the join.
+    may_be_cut = F.coalesce(F.octet_length("text") > most, F.lit(False))
+    both = rows.filter(may_be_cut).join(cuts, F.col("d").eqNullSafe(F.col("doc")) & (F.col("dh") == F.col("h")), "left")
+    both = both.unionByName(rows.filter(~may_be_cut), allowMissingColumns=True)
     piece = F.when(F.col("h").isNull(), F.col("text")).otherwise(F.substring("text", F.col("start_char") + 1, F.col("next_char") - F.col("start_char")))
     boundary = F.when(~F.col("last"), F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)).when(F.col("last"), F.lit("end"))
     return both.select(
