@@ -15,16 +15,16 @@ def depth_histogram(segments: DataFrame) -> DataFrame:
 
 def per_chromosome(histogram: DataFrame, chroms: DataFrame) -> DataFrame:
     """(chrom, depth, bases, covered, chrom_length)."""
-    covered = histogram.groupBy("chrom").agg(F.sum("bases").alias("covered"))
-    return histogram.join(covered, "chrom").join(chroms, "chrom").select("chrom", "depth", "bases", "covered", "chrom_length")
+    covered = histogram.withColumn("covered", F.sum("bases").over(Window.partitionBy("chrom")))
+    return covered.join(chroms, "chrom").select("chrom", "depth", "bases", "covered", "chrom_length")
 
 
 def total(histogram: DataFrame, chroms: DataFrame) -> DataFrame:
     """(depth, bases, covered, genome_length)."""
     sizes = chroms.agg(F.sum("chrom_length").alias("n"))
     known = histogram.join(chroms.select("chrom"), "chrom", "left_semi")
-    covered = known.agg(F.sum("bases").alias("n"))
-    return known.groupBy("depth").agg(F.sum("bases").alias("bases")).select("depth", "bases", covered.scalar().alias("covered"), sizes.scalar().alias("genome_length"))
+    # This window, as those below, runs over distinct depths, not over the data.
+    return known.groupBy("depth").agg(F.sum("bases").alias("bases")).select("depth", "bases", F.sum("bases").over(Window.partitionBy()).alias("covered"), sizes.scalar().alias("genome_length"))
 
 
 def cumulative_line(totals: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def overlap_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _best_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = reads.best_alignment(inputs.alignments(spark, sf_dir))
+    best = reads.best_alignment(inputs.alignments(spark, sf_dir, "qname", "flag", "chrom", "t_start", "t_end", "aligned_bases"))
     return best.select("qname", "chrom", F.col("t_start").alias("start"), F.col("t_end").alias("end"))
 
 

@@ -10,14 +10,17 @@ from strandloom.session import table
 ALIGNMENT = ["aln_id", "qname", "flag", "qlen", "q_start", "q_end", "chrom", "strand", "t_start", "t_end", "aligned_bases"]
 
 
-def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignment entries, each once however often it arrived."""
-    return table(spark, sf_dir, "alndata").select(*ALIGNMENT).distinct()
+def alignments(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Alignment entries, each once however often it arrived.
+
+    Only the ``columns`` named (all, if none) are read and compared, and aln_id.
+    """
+    return table(spark, sf_dir, "alndata").select("aln_id", *[c for c in columns or ALIGNMENT if c != "aln_id"]).distinct()
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference spans of the aligned entries: (aln_id, qname, chrom, start, end)."""
-    return alignments(spark, sf_dir).select("aln_id", "qname", "chrom", F.col("t_start").alias("start"), F.col("t_end").alias("end")).filter("chrom is not null and start < end")
+    return alignments(spark, sf_dir, "qname", "chrom", "t_start", "t_end").select("aln_id", "qname", "chrom", F.col("t_start").alias("start"), F.col("t_end").alias("end")).filter("chrom is not null and start < end")
 
 
 def _list(column: str) -> Column:

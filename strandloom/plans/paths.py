@@ -10,18 +10,18 @@ from strandloom.plans import inputs, sql
 
 
 def best_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.best_alignment(inputs.alignments(spark, sf_dir)).select("qname", "aln_id", "flag", "aligned_bases")
+    return reads.best_alignment(inputs.alignments(spark, sf_dir, "qname", "flag", "aligned_bases")).select("qname", "aln_id", "flag", "aligned_bases")
 
 
 def primary_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry counts of each read by kind: all, aligned, primary."""
-    e = inputs.alignments(spark, sf_dir).filter("qname is not null")
+    e = inputs.alignments(spark, sf_dir, "qname", "flag", "aligned_bases").filter("qname is not null")
     return e.groupBy("qname").agg(F.count("*").alias("n"), F.count_if(F.col("aligned_bases") > 0).alias("n_aligned"), F.count_if(F.col("flag").bitwiseAND(2304) == 0).alias("n_primary"))
 
 
 def unaligned_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads without an aligned entry, with their longest length."""
-    e = inputs.alignments(spark, sf_dir).filter("qname is not null")
+    e = inputs.alignments(spark, sf_dir, "qname", "aligned_bases", "qlen").filter("qname is not null")
     return e.groupBy("qname").agg(F.count_if(F.col("aligned_bases") > 0).alias("n"), F.max("qlen").alias("qlen")).filter("n = 0").drop("n")
 
 
@@ -32,7 +32,7 @@ def read_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries of every path with the read's type, as they go to the sink of that type."""
     p = read_paths(spark, sf_dir).select("qname", "read_type", F.posexplode("members").alias("place", "aln_id"))
-    return p.join(inputs.alignments(spark, sf_dir).select("aln_id", "chrom", "t_start", "t_end"), "aln_id")
+    return p.join(inputs.alignments(spark, sf_dir, "chrom", "t_start", "t_end"), "aln_id")
 
 
 def path_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
