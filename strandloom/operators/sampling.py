@@ -60,8 +60,8 @@ def rarefaction(df: DataFrame, key: str, value: str, samples: int = 10, min_dept
 
 
 def downsample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """The first ``n`` rows of the draw order (all, if there are fewer)."""
-    return df.withColumn("_at", mix(F.col(key), F.lit(seed))).orderBy("_at", key).limit(n).drop("_at")
+    """The first ``n`` rows of the draw order (all, if there are fewer), found by order ranges; no task holds all of them."""
+    return within_budget(df.withColumn("_one", F.lit(1)), key, "_one", n, seed).drop("_one")
 
 
 def downsample_groups(df: DataFrame, groups: list[str], key: str, n: int, seed: int = 0) -> DataFrame:

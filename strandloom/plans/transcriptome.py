@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.operators import annotate, bias, errors, intervals, junctions, loci, novel, sampling
+from strandloom.operators import annotate, bias, coverage, errors, intervals, junctions, loci, novel, reads, sampling, stats
 from strandloom.plans import fixtures, sql
 from strandloom.sources import formats
 
@@ -19,6 +19,22 @@ def best_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.best_transcript(fixtures.read_exons(spark, sf_dir), fixtures.exons(spark, sf_dir), TILE)
 
 
+def exon_read_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature of each multi-exon read by the share of its exons' bases."""
+    exons, read_exons = fixtures.exons(spark, sf_dir), fixtures.read_exons(spark, sf_dir)
+    tx = exons.groupBy("tx", "chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    ends = exons.select("chrom", "end").unionByName(read_exons.select("chrom", "end"))
+    genome = ends.groupBy("chrom").agg(F.lit(0).cast("long").alias("start"), F.max("end").alias("end"))
+    features = intervals.layers({"exon": exons, "intron": tx, "intergenic": genome}, ["chrom"], 1 << 14).withColumnsRenamed({"start": "r_start", "end": "r_end"})
+    sizes = fixtures.reads(spark, sf_dir).select(F.col("read_name").alias("qname"), F.col("read_length").alias("length"), "exon_count")
+    overlap = coverage.overlap_of(read_exons.select(F.col("read_name").alias("qname"), "chrom", "start", "end"), "qname", features, "kind", TILE)
+    return reads.assign_feature(overlap, sizes.drop("exon_count")).join(sizes.select("qname", "exon_count"), "qname")
+
+
+def read_feature_hist_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram(exon_read_features(spark, sf_dir), "length", "exon_count", "feature")
+
+
 def junction_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return junctions.distances(fixtures.read_exons(spark, sf_dir), fixtures.exons(spark, sf_dir))
 
@@ -138,7 +154,7 @@ def genepred_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    best_annotation, junction_distances, junvar_rollup, nr_isoforms, locus_reads, loci_counts, novel_loci_named, locus_coverage, locus_components, bias_bins, bias_box, bias_bins_trimmed, rarefaction_locus, locus_downsample, context_sample, novel_isoforms, novel_loci, error_matrix, error_stats, error_ratios,
+    best_annotation, exon_read_features, read_feature_hist_exons, junction_distances, junvar_rollup, nr_isoforms, locus_reads, loci_counts, novel_loci_named, locus_coverage, locus_components, bias_bins, bias_box, bias_bins_trimmed, rarefaction_locus, locus_downsample, context_sample, novel_isoforms, novel_loci, error_matrix, error_stats, error_ratios,
     context_errors, least_context, exon_merge_by_strand, bed12_export, genepred_roundtrip,
 )
 
@@ -185,9 +201,19 @@ p1 AS (SELECT tx, CASE WHEN strand = '-' THEN len - 1 - p ELSE p END AS p FROM p
 pd AS (SELECT tx, 1 + (100 * (p - lo)) // len AS bin, count(*) AS n FROM p1 JOIN le USING (tx) GROUP BY ALL), ev AS (SELECT tx, reads, len, unnest(range(1, 101)) AS bin FROM cn JOIN le USING (tx))
 SELECT tx, bin, round(coalesce(n / nullif(((bin * len + 99) // 100 - ((bin - 1) * len + 99) // 100) * reads, 0), 0), 6) AS value FROM ev LEFT JOIN pd USING (tx, bin)"""
 
+_XF = f"""{_BOTH}, {fixtures.READS}, vt AS (SELECT chrom, min(s) AS s, max(e) AS e FROM v_exons GROUP BY tx, chrom), ge AS (SELECT chrom, CAST(0 AS BIGINT) AS s, max(e) AS e FROM (SELECT chrom, e FROM v_exons UNION ALL SELECT chrom, e FROM v_read_exons) GROUP BY chrom),
+{sql.merged("mx", "v_exons")}, {sql.merged("mt", "vt")}, {sql.subtracted("intr", "mt", "mx")}, {sql.subtracted("inter", "ge", "mt")}, feat AS (SELECT *, 'exon' AS kind FROM mx UNION ALL SELECT *, 'intron' FROM intr UNION ALL SELECT *, 'intergenic' FROM inter),
+ov AS (SELECT read_name, kind, sum(least(r.e, f.e) - greatest(r.s, f.s)) AS o FROM v_read_exons r JOIN feat f ON r.chrom = f.chrom AND r.s < f.e AND f.s < r.e GROUP BY ALL),
+pv AS (SELECT read_name, CAST(coalesce(sum(o) FILTER (kind = 'exon'), 0) AS BIGINT) AS x, CAST(coalesce(sum(o) FILTER (kind = 'intron'), 0) AS BIGINT) AS i, CAST(coalesce(sum(o) FILTER (kind = 'intergenic'), 0) AS BIGINT) AS g FROM ov GROUP BY read_name),
+xf AS (SELECT read_name AS qname, read_length AS length, x AS exon_bases, i AS intron_bases, g AS intergenic_bases, CASE WHEN 2 * x >= read_length THEN 'exon' WHEN 2 * i >= read_length THEN 'intron' WHEN 2 * g >= read_length THEN 'intergenic'
+ WHEN x >= i AND x >= g THEN 'exon' WHEN i >= g THEN 'intron' ELSE 'intergenic' END AS feature, exon_count FROM pv JOIN v_reads USING (read_name))"""
+
 _KEYED = f"{_LOCI}, kl AS (SELECT CAST(substr(read_name, 2) AS BIGINT) AS read, CAST(locus AS BIGINT) AS locus FROM li)"
 
 ORACLES = {
+    "exon_read_features": f"WITH {_XF} SELECT * FROM xf",
+    "read_feature_hist_exons": f"""WITH {_XF} SELECT 'length' AS axis, {sql.length_bin('length')} AS bin, feature, count(*) AS n FROM xf GROUP BY ALL UNION ALL
+SELECT 'exons', CASE WHEN exon_count > 20 THEN '>20' ELSE CAST(exon_count AS VARCHAR) END AS bin, feature, count(*) AS n FROM xf GROUP BY ALL""",
     "bias_bins_trimmed": f"WITH {_TRIM}",
     "locus_downsample": f"WITH {_KEYED} SELECT read, locus FROM kl QUALIFY row_number() OVER (PARTITION BY locus ORDER BY {sql.mix('read', '0')}, read) <= 100",
     "rarefaction_locus": f"WITH {_KEYED}, {sql.rarefaction('kl', 'read', 'locus', 10, 1)}",

@@ -39,3 +39,11 @@ def test_curves_and_draws(spark):
     seen = sampling.until_every_value(df.dropna().selectExpr("k", "v", "1 as n"), "k", "v", "n", 1).collect()
     assert len(seen) == max(r["rank"] for r in seen) < 60
     assert sampling.rarefaction(df.limit(0), "k", "v", 3).collect() == []
+
+
+def test_downsample_takes_exactly_the_first_rows(spark):
+    df = spark.createDataFrame([(i, "x") for i in range(200)], "k long, _one string")
+    got = {r["k"] for r in sampling.downsample(df.select("k"), "k", 37).collect()}
+    place = lambda k: ((k * 7919 + 12345) % sampling.PRIME * 48271 % sampling.PRIME, k)
+    assert got == set(sorted(range(200), key=place)[:37])
+    assert sampling.downsample(df.select("k"), "k", 500).count() == 200
