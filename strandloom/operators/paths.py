@@ -19,11 +19,24 @@ class PathOptions:
     max_query_gap: int = 500_000
     max_target_overlap: int = 10
     max_target_gap: int = 500_000
-    #: Reads of at most so many entries have all their subsets tried; 2**n of them.
+    #: Reads with at most so many entries that fit their best one have all subsets tried; 2**n of them.
     exhaustive: int = 8
+    #: Reads of at most so many rows are gathered in one row; those with more are reduced first.
+    gathered: int = 1000
 
 
-_MEMBER = "struct(q_start, aln_id, q_end, chrom, strand, t_start, t_end, aligned_bases)"
+_COLUMNS = ["q_start", "aln_id", "q_end", "chrom", "strand", "t_start", "t_end", "aligned_bases"]
+
+
+def _member(prefix: str = "") -> str:
+    """An entry as a path member; in this order members sort by their place in the query."""
+    return "struct(" + ", ".join(f"{prefix}{c} as {c}" for c in _COLUMNS) + ")"
+
+
+def _fits(x: str, y: str, o: PathOptions) -> str:
+    """Whether two entries may be in one path."""
+    over = f"least({x}.q_end, {y}.q_end) - greatest({x}.q_start, {y}.q_start) <= {o.max_query_overlap}"
+    return f"({over} and greatest({x}.q_start, {y}.q_start) - least({x}.q_end, {y}.q_end) <= {o.max_query_gap})"
 
 
 def _classified(paths: DataFrame, o: PathOptions) -> DataFrame:
@@ -33,7 +46,7 @@ def _classified(paths: DataFrame, o: PathOptions) -> DataFrame:
     (opposite strands, one chromosome) or an atypical one; else a pair too far apart or on
     two chromosomes makes a chimera; else the path is gapped.
     """
-    pairs = "flatten(transform(sequence(1, size(members) - 1), i -> transform(sequence(i + 1, size(members)), j -> struct(members[i - 1] as x, members[j - 1] as y))))"
+    pairs = "if(size(members) < 2, array(), flatten(transform(sequence(1, size(members) - 1), i -> transform(sequence(i + 1, size(members)), j -> struct(members[i - 1] as x, members[j - 1] as y)))))"
     near = f"p.x.chrom = p.y.chrom and least(p.x.t_end, p.y.t_end) - greatest(p.x.t_start, p.y.t_start) > {o.max_target_overlap}"
     far = f"p.x.chrom <> p.y.chrom or greatest(p.x.t_start, p.y.t_start) - least(p.x.t_end, p.y.t_end) > {o.max_target_gap}"
     rows = paths.withColumn("_pairs", F.expr(pairs)).withColumn("_first", F.expr(f"get(filter(_pairs, p -> {near}), 0)"))
@@ -45,32 +58,43 @@ def _classified(paths: DataFrame, o: PathOptions) -> DataFrame:
     return rows.withColumn("read_type", kind).withColumn("total_bases", F.expr(span)).drop("_pairs", "_first")
 
 
-def _exhaustive(few: DataFrame, o: PathOptions) -> DataFrame:
-    """Best path of reads with few entries: all subsets with the best entry, as bit masks over the entries in input order.
+def _gathered(rows: DataFrame, o: PathOptions) -> DataFrame:
+    """Reads in one row each: (qname, n, best, qlen, fitting), the entries that fit the best one in input order."""
+    entry = "struct(aln_id, flag, qlen, " + ", ".join(c for c in _COLUMNS if c != "aln_id") + ")"
+    a = rows.groupBy("qname").agg(F.sort_array(F.collect_set(F.expr(entry))).alias("a"))
+    a = a.withColumn("al", F.expr("filter(a, x -> x.aligned_bases > 0)"))
+    primary = "if(coalesce((x.flag & 2304) = 0, false), 0, 1)"
+    a = a.withColumn("best", F.expr(f"array_min(transform(al, x -> struct({primary} as s, x.aln_id as aln_id, {_member('x.')} as m))).m"))
+    fitting = f"filter(al, x -> x.aln_id <> best.aln_id and x.aligned_bases >= {o.min_aligned_bases} and best.aligned_bases >= {o.min_aligned_bases} and {_fits('x', 'best', o)})"
+    return a.select("qname", F.expr("cast(size(al) as bigint)").alias("n"), "best", F.expr("array_max(transform(a, x -> x.qlen))").alias("qlen"), F.expr(f"transform({fitting}, x -> {_member('x.')})").alias("fitting"))
+
 
-    More aligned bases win, then fewer members, then the subset that comes first.
+def _exhaustive(reads: DataFrame, o: PathOptions) -> DataFrame:
+    """Best path of each read: all subsets of the fitting entries with the best one, as bit masks; 0 is the best one alone.
+
+    More aligned bases win, then fewer members, then the subset that comes first. Reads
+    with more fitting entries keep their best one alone here.
     """
-    reads = few.groupBy("qname", "best", "n").agg(F.sort_array(F.collect_list(F.struct("aln_id", F.expr(_MEMBER).alias("m")))).alias("a"))
-    masks = reads.withColumn("mask", F.explode(F.expr("sequence(1, shiftleft(1, cast(n as int)) - 1)")))
-    chosen = "array_sort(transform(filter(a, (x, i) -> mask & shiftleft(1, cast(n as int) - 1 - i) <> 0), x -> x.m))"
-    rows = masks.filter("bit_count(mask) > 1").withColumn("members", F.expr(chosen)).filter(f"exists(members, x -> x.aln_id = best) and forall(members, x -> x.aligned_bases >= {o.min_aligned_bases})")
-    over = f"least(members[i].q_end, members[j].q_end) - greatest(members[i].q_start, members[j].q_start) > {o.max_query_overlap}"
-    gap = f"greatest(members[i].q_start, members[j].q_start) - least(members[i].q_end, members[j].q_end) > {o.max_query_gap}"
-    bad = f"exists(sequence(0, size(members) - 2), i -> exists(sequence(i + 1, size(members) - 1), j -> {over} or {gap}))"
-    rows = rows.filter(f"not {bad}").withColumn("bases", F.expr("aggregate(members, 0L, (s, x) -> s + x.aligned_bases)"))
-    return rows.groupBy("qname").agg(F.max_by(F.struct("members", "bases"), F.struct("bases", -F.size("members"), "mask")).alias("w")).select("qname", "w.members", "w.bases")
+    masks = reads.withColumn("c", F.when(F.size("fitting") <= o.exhaustive, F.size("fitting")).otherwise(0)).withColumn("mask", F.explode(F.expr("sequence(0, shiftleft(1, c) - 1)")))
+    rows = masks.withColumn("others", F.expr("filter(fitting, (x, i) -> mask & shiftleft(1, c - 1 - i) <> 0)"))
+    rows = rows.filter(f"mask = 0 or forall(others, x -> forall(others, y -> x.aln_id = y.aln_id or {_fits('x', 'y', o)}))")
+    rows = rows.withColumn("bases", F.expr("aggregate(others, best.aligned_bases, (s, x) -> s + x.aligned_bases)"))
+    order = F.struct("bases", -F.size("others"), "mask")
+    w = rows.groupBy("qname").agg(F.max_by(F.struct("n", "best", "qlen", "others", "bases"), order).alias("w")).select("qname", "w.*")
+    return w.select("qname", "n", "best", "qlen", F.array_sort(F.concat(F.array("best"), "others")).alias("members"))
 
 
 def _chained(many: DataFrame, o: PathOptions) -> DataFrame:
-    """Best path of reads with many entries, as the heaviest chain through the best entry.
-
-    Entries longer in the query than the allowed overlap are compatible in pairs if
-    neighbours are, so a chain needs neighbours only. Of the entries with one query range,
-    only the heaviest (then the first) is needed; they are reduced before they are brought
-    together, so a task holds a read's distinct query ranges, whose number the read's
-    length bounds, and not its entries. Fewer members win a tie.
+    """Best path (qname, members) of reads with many entries, as the heaviest chain through the best entry.
+
+    ``many`` has the entries that fit the best one, and the best one, with its aln_id as
+    ``best``. Entries longer in the query than the allowed overlap are compatible in pairs
+    if neighbours are, so a chain needs neighbours only. Of the entries with one query
+    range, only the heaviest (then the first) is needed; they are reduced before they are
+    brought together, so a task holds a read's distinct query ranges, whose number the
+    read's length bounds, and not its entries. Fewer members win a tie.
     """
-    useful = many.filter(f"aligned_bases >= {o.min_aligned_bases} and q_end - q_start > {o.max_query_overlap}")
+    useful = many.filter(f"q_end - q_start > {o.max_query_overlap}")
     is_best = F.col("aln_id") == F.col("best")
     reduced = useful.groupBy("qname", "best", "q_start", "q_end", is_best.alias("is_best")).agg(F.max_by(F.struct("aln_id", "aligned_bases"), F.struct(F.col("aligned_bases"), -F.col("aln_id"))).alias("m"))
     reduced = reduced.select("qname", "q_start", "q_end", "is_best", "m.aln_id", "m.aligned_bases")
@@ -106,7 +130,7 @@ def _chained(many: DataFrame, o: PathOptions) -> DataFrame:
 
     chosen = reduced.groupBy("qname").applyInPandas(chain, "qname string, aln_id long")
     members = useful.join(chosen, ["qname", "aln_id"], "left_semi")
-    return members.groupBy("qname").agg(F.sort_array(F.collect_list(F.expr(_MEMBER))).alias("members"), F.sum("aligned_bases").alias("bases"))
+    return members.groupBy("qname").agg(F.sort_array(F.collect_list(F.expr(_member()))).alias("chain"))
 
 
 def resolve_paths(entries: DataFrame, options: PathOptions | None = None) -> DataFrame:
@@ -116,25 +140,35 @@ def resolve_paths(entries: DataFrame, options: PathOptions | None = None) -> Dat
     entries is 'unaligned'; one whose best entry no path beats is 'original'. Of a read
     with one aligned entry, both lengths are its aligned bases; else the query span of the
     best entry and the union of the query spans of the path. qlen is the longest one.
+
+    Equal rows count once. A read of many rows is never gathered: its best entry is found
+    by partial minima, and only entries that fit it go on.
     """
     o = options or PathOptions()
-    rows = entries.filter("qname is not null").withColumn("aligned", F.coalesce(F.col("aligned_bases") > 0, F.lit(False)))
+    rows = entries.select("qname", "flag", "qlen", *_COLUMNS).filter("qname is not null")
+    large = rows.groupBy("qname").agg(F.count("*").alias("c")).filter(F.col("c") > o.gathered).select("qname")
+    few = _gathered(rows.join(large, "qname", "left_anti"), o)
+    solved = _exhaustive(few, o)
+
+    spread = rows.join(large, "qname", "left_semi").distinct()
     primary = F.when(F.col("flag").bitwiseAND(2304) == 0, 0).otherwise(1)
-    first = F.min(F.when(F.col("aligned"), F.struct(primary.alias("s"), F.col("aln_id"), F.col("aligned_bases"), F.col("q_start"), F.col("q_end"))))
-    reads = rows.groupBy("qname").agg(F.count_if("aligned").alias("n"), first.alias("b"), F.max("qlen").alias("qlen"))
-    several = reads.filter("n > 1").select("qname", "n", F.col("b.aln_id").alias("best"))
-    aligned = rows.filter("aligned").join(several, "qname")
-    few, many = aligned.filter(F.col("n") <= o.exhaustive), aligned.filter(F.col("n") > o.exhaustive)
-    found = _exhaustive(few, o).unionByName(_chained(many, o))
-    better = _classified(found.filter("size(members) > 1"), o)
-    both = reads.join(better, "qname", "left").withColumn("path", (F.col("bases") > F.col("b.aligned_bases")) & F.col("members").isNotNull())
-    path, span = F.coalesce("path", F.lit(False)), F.col("b.q_end") - F.col("b.q_start")
-    zero = F.lit(0).cast("long")
-    return both.select(
+    first = F.min(F.when(F.col("aligned_bases") > 0, F.struct(primary.alias("s"), "aln_id", F.expr(_member()).alias("m"))))
+    summary = spread.groupBy("qname").agg(F.count_if(F.col("aligned_bases") > 0).alias("n"), first.alias("b"), F.max("qlen").alias("qlen")).select("qname", "n", F.col("b.m").alias("best"), "qlen")
+    both_long = f"best.aligned_bases >= {o.min_aligned_bases} and aligned_bases >= {o.min_aligned_bases}"
+    near = spread.withColumn("x", F.expr(_member())).join(summary.select("qname", "best"), "qname").filter(f"aln_id = best.aln_id or ({both_long} and {_fits('x', 'best', o)})").select("qname", F.col("best.aln_id").alias("best"), *_COLUMNS)
+    wide = few.filter(F.size("fitting") > o.exhaustive).select("qname", F.col("best.aln_id").alias("b"), F.explode(F.concat("fitting", F.array("best"))).alias("x")).select("qname", F.col("b").alias("best"), *[f"x.{c}" for c in _COLUMNS])
+    chains = _chained(near.unionByName(wide), o)
+
+    reads = solved.unionByName(summary.withColumn("members", F.array("best"))).join(chains, "qname", "left")
+    reads = reads.withColumn("members", F.coalesce("chain", "members")).withColumn("path", F.size("members") > 1)
+    typed = _classified(reads, o)
+    span, zero = F.col("best.q_end") - F.col("best.q_start"), F.lit(0).cast("long")
+    path = F.coalesce("path", F.lit(False))
+    return typed.select(
         "qname",
         F.when(F.col("n") == 0, "unaligned").when(path, F.col("read_type")).otherwise("original").alias("read_type"),
-        F.when(F.col("n") == 0, zero).when(F.col("n") == 1, F.col("b.aligned_bases")).otherwise(span).alias("single_bases"),
-        F.when(F.col("n") == 0, zero).when(F.col("n") == 1, F.col("b.aligned_bases")).when(path, F.col("total_bases")).otherwise(span).alias("total_bases"),
+        F.when(F.col("n") == 0, zero).when(F.col("n") == 1, F.col("best.aligned_bases")).otherwise(span).alias("single_bases"),
+        F.when(F.col("n") == 0, zero).when(F.col("n") == 1, F.col("best.aligned_bases")).when(path, F.col("total_bases")).otherwise(span).alias("total_bases"),
         "qlen",
-        F.when(F.col("n") == 0, F.array().cast("array<bigint>")).when(path, F.transform("members", lambda m: m["aln_id"])).otherwise(F.array("b.aln_id")).alias("members"),
+        F.when(F.col("n") == 0, F.array().cast("array<bigint>")).otherwise(F.transform("members", lambda m: m["aln_id"])).alias("members"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import paths, reads
 from strandloom.plans import inputs, sql
+from strandloom.session import table
 
 
 def best_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +27,7 @@ def unaligned_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.resolve_paths(inputs.alignments(spark, sf_dir))
+    return paths.resolve_paths(table(spark, sf_dir, "alndata"))
 
 
 def path_members(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,8 +61,8 @@ def test_all_subsets_against_brute_force(spark):
 def test_chains_have_the_same_bases_as_all_subsets(spark):
     rows = reads(40, 11, 2)
     by = {q: [r for r in rows if r[1] == q] for q in {r[1] for r in rows}}
-    o = PathOptions(max_target_gap=1000, exhaustive=1)
-    assert {q: v[1] for q, v in run(spark, rows, o).items()} == {q: brute(v, o)[1] for q, v in by.items()}
+    for o in (PathOptions(max_target_gap=1000, exhaustive=0), PathOptions(max_target_gap=1000, exhaustive=0, gathered=1)):
+        assert {q: v[1] for q, v in run(spark, rows + rows[:50], o).items()} == {q: brute(v, o)[1] for q, v in by.items()}
 
 
 def entry(i, q="q", flag=0, s=0, n=100, chrom="a", strand="+", t=0):
