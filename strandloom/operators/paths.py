@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import materialize
+
 
 @dataclass(frozen=True)
 class PathOptions:
@@ -72,16 +74,14 @@ def _gathered(rows: DataFrame, o: PathOptions) -> DataFrame:
 def _exhaustive(reads: DataFrame, o: PathOptions) -> DataFrame:
     """Best path of each read: all subsets of the fitting entries with the best one, as bit masks; 0 is the best one alone.
 
-    More aligned bases win, then fewer members, then the subset that comes first. Reads
-    with more fitting entries keep their best one alone here.
+    More aligned bases win, then fewer members, then the subset that comes first.
     """
-    masks = reads.withColumn("c", F.when(F.size("fitting") <= o.exhaustive, F.size("fitting")).otherwise(0)).withColumn("mask", F.explode(F.expr("sequence(0, shiftleft(1, c) - 1)")))
-    rows = masks.withColumn("others", F.expr("filter(fitting, (x, i) -> mask & shiftleft(1, c - 1 - i) <> 0)"))
-    rows = rows.filter(f"mask = 0 or forall(others, x -> forall(others, y -> x.aln_id = y.aln_id or {_fits('x', 'y', o)}))")
-    rows = rows.withColumn("bases", F.expr("aggregate(others, best.aligned_bases, (s, x) -> s + x.aligned_bases)"))
-    order = F.struct("bases", -F.size("others"), "mask")
-    w = rows.groupBy("qname").agg(F.max_by(F.struct("n", "best", "qlen", "others", "bases"), order).alias("w")).select("qname", "w.*")
-    return w.select("qname", "n", "best", "qlen", F.array_sort(F.concat(F.array("best"), "others")).alias("members"))
+    has = "mask & shiftleft(1, size(fitting) - 1 - {i}) <> 0"
+    valid = f"forall(transform(fitting, (x, i) -> struct(x, i)), p -> not ({has.format(i='p.i')}) or forall(transform(fitting, (y, j) -> struct(y, j)), q -> q.j <= p.i or not ({has.format(i='q.j')}) or {_fits('p.x', 'q.y', o)}))"
+    bases = f"aggregate(transform(fitting, (x, i) -> if({has.format(i='i')}, x.aligned_bases, 0L)), 0L, (s, v) -> s + v)"
+    best = f"array_max(transform(filter(sequence(0, shiftleft(1, size(fitting)) - 1), mask -> {valid}), mask -> struct({bases} as bases, -bit_count(mask) as fewer, mask as mask))).mask"
+    rows = reads.withColumn("mask", F.expr(best))
+    return rows.select("qname", "n", "best", "qlen", F.expr(f"array_sort(concat(array(best), filter(fitting, (x, i) -> {has.format(i='i')})))").alias("members"))
 
 
 def _chained(many: DataFrame, o: PathOptions) -> DataFrame:
@@ -147,8 +147,9 @@ def resolve_paths(entries: DataFrame, options: PathOptions | None = None) -> Dat
     o = options or PathOptions()
     rows = entries.select("qname", "flag", "qlen", *_COLUMNS).filter("qname is not null")
     large = rows.groupBy("qname").agg(F.count("*").alias("c")).filter(F.col("c") > o.gathered).select("qname")
-    few = _gathered(rows.join(large, "qname", "left_anti"), o)
-    solved = _exhaustive(few, o)
+    few = materialize(_gathered(rows.join(large, "qname", "left_anti"), o), "reads")
+    small = F.size("fitting") <= o.exhaustive
+    solved = _exhaustive(few.filter(small), o)
 
     spread = rows.join(large, "qname", "left_semi").distinct()
     primary = F.when(F.col("flag").bitwiseAND(2304) == 0, 0).otherwise(1)
@@ -156,11 +157,11 @@ def resolve_paths(entries: DataFrame, options: PathOptions | None = None) -> Dat
     summary = spread.groupBy("qname").agg(F.count_if(F.col("aligned_bases") > 0).alias("n"), first.alias("b"), F.max("qlen").alias("qlen")).select("qname", "n", F.col("b.m").alias("best"), "qlen")
     both_long = f"best.aligned_bases >= {o.min_aligned_bases} and aligned_bases >= {o.min_aligned_bases}"
     near = spread.withColumn("x", F.expr(_member())).join(summary.select("qname", "best"), "qname").filter(f"aln_id = best.aln_id or ({both_long} and {_fits('x', 'best', o)})").select("qname", F.col("best.aln_id").alias("best"), *_COLUMNS)
-    wide = few.filter(F.size("fitting") > o.exhaustive).select("qname", F.col("best.aln_id").alias("b"), F.explode(F.concat("fitting", F.array("best"))).alias("x")).select("qname", F.col("b").alias("best"), *[f"x.{c}" for c in _COLUMNS])
+    wide = few.filter(~small).select("qname", F.col("best.aln_id").alias("b"), F.explode(F.concat("fitting", F.array("best"))).alias("x")).select("qname", F.col("b").alias("best"), *[f"x.{c}" for c in _COLUMNS])
     chains = _chained(near.unionByName(wide), o)
 
-    reads = solved.unionByName(summary.withColumn("members", F.array("best"))).join(chains, "qname", "left")
-    reads = reads.withColumn("members", F.coalesce("chain", "members")).withColumn("path", F.size("members") > 1)
+    rest = few.filter(~small).select("qname", "n", "best", "qlen").unionByName(summary).join(chains, "qname", "left")
+    reads = solved.unionByName(rest.select("qname", "n", "best", "qlen", F.coalesce("chain", F.array("best")).alias("members"))).withColumn("path", F.size("members") > 1)
     typed = _classified(reads, o)
     span, zero = F.col("best.q_end") - F.col("best.q_start"), F.lit(0).cast("long")
     path = F.coalesce("path", F.lit(False))
