@@ -146,12 +146,13 @@ def resolve_paths(entries: DataFrame, options: PathOptions | None = None) -> Dat
     """
     o = options or PathOptions()
     rows = entries.select("qname", "flag", "qlen", *_COLUMNS).filter("qname is not null")
-    large = rows.groupBy("qname").agg(F.count("*").alias("c")).filter(F.col("c") > o.gathered).select("qname")
+    # Few names; written, their size is known, so that Spark can decide to broadcast them.
+    large = materialize(rows.groupBy("qname").agg(F.count("*").alias("c")).filter(F.col("c") > o.gathered).select("qname"), "large")
     few = materialize(_gathered(rows.join(large, "qname", "left_anti"), o), "reads")
     small = F.size("fitting") <= o.exhaustive
     solved = _exhaustive(few.filter(small), o)
 
-    spread = rows.join(large, "qname", "left_semi").distinct()
+    spread = materialize(rows.join(large, "qname", "left_semi").distinct(), "spread")
     primary = F.when(F.col("flag").bitwiseAND(2304) == 0, 0).otherwise(1)
     first = F.min(F.when(F.col("aligned_bases") > 0, F.struct(primary.alias("s"), "aln_id", F.expr(_member()).alias("m"))))
     summary = spread.groupBy("qname").agg(F.count_if(F.col("aligned_bases") > 0).alias("n"), first.alias("b"), F.max("qlen").alias("qlen")).select("qname", "n", F.col("b.m").alias("best"), "qlen")
