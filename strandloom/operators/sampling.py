@@ -34,6 +34,19 @@ def draw_ranks(df: DataFrame, key: str, samples: int, buckets: int = BUCKETS) ->
     return ranked.withColumn("rank", F.col("_before") + F.col("_inside")).drop("_at", "_bucket", "_before", "_inside")
 
 
+def with_null_draws(df: DataFrame, name: str, key: str, value: str, reads: DataFrame) -> DataFrame:
+    """(key, value): the rows of ``df`` and a null draw of each read of ``reads`` (``name``, each once) that ``df`` lacks.
+
+    A null draw's key is made of its name, so that it has its place in the draw order without
+    a count over the reads. More rows than reads are an error.
+    """
+    counts = [x.agg(F.count("*").alias("n")) for x in (df, reads)]
+    fits = F.when(counts[0].scalar() <= counts[1].scalar(), F.lit(True)).otherwise(F.raise_error(F.lit("more annotated reads than reads")).cast("boolean"))
+    place = F.conv(F.substring(F.md5(F.coalesce(name, F.lit(""))), 1, 15), 16, 10).cast("long")
+    missing = reads.join(df.select(name).distinct(), name, "left_anti").select(place.alias(key), F.lit(None).cast(df.schema[value].dataType).alias(value))
+    return df.select(key, value).unionByName(missing).filter(fits)
+
+
 def rarefaction(df: DataFrame, key: str, value: str, samples: int = 10, min_depth: int = 1, buckets: int = BUCKETS) -> DataFrame:
     """(x, lower, median, upper): distinct values with at least ``min_depth`` of the first x draws.
 

@@ -99,9 +99,11 @@ def contained_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rarefaction(key: str, full: bool, min_depth: int, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A curve over all reads; those without annotation are draws that find nothing."""
     rows = inputs.annotations(spark, sf_dir)
     value = F.when(F.col("match_type") == "full", F.col(key)) if full else F.col(key)
-    return sampling.rarefaction(rows.select("read_line", value.alias("v")), "read_line", "v", SAMPLES, min_depth)
+    draws = sampling.with_null_draws(rows.select("read_name", "read_line", value.alias("v")), "read_name", "read_line", "v", inputs.read_names(spark, sf_dir))
+    return sampling.rarefaction(draws, "read_line", "v", SAMPLES, min_depth)
 
 
 _CURVES = {"rarefaction_gene": ("gene", False, 1), "rarefaction_gene_full": ("gene", True, 1), "rarefaction_tx": ("tx", False, 1), "rarefaction_tx_full": ("tx", True, 1), "rarefaction_tx_twice": ("tx", False, 2)}

@@ -54,3 +54,8 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length table, each read once however often it arrived."""
     return table(spark, sf_dir, "lengths").drop("load_ts").distinct()
+
+
+def read_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of the length table's reads, aligned or not, each once."""
+    return table(spark, sf_dir, "lengths").select(F.col("qname").alias("read_name")).distinct()
