@@ -12,7 +12,9 @@ from strandloom.sources import formats
 #: Tile of the exon joins: a few exons long on these coordinates.
 TILE = 512
 MIN_DEPTH = 2
+#: The stop in the SQL of context_sample, a hundredth of the reference's.
 CONTEXT_STOP = 50
+CONTEXT_SEEN = 5_000
 
 
 def best_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +107,9 @@ def locus_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignments in draw order until every target context has been seen 50 times."""
+    """Alignments in draw order until every target context has been seen 5,000 times; all, where one never is."""
     w = errors.contexts_per_alignment(fixtures.pairs(spark, sf_dir))
-    return sampling.until_every_value(w, "aln_id", "context", "n", CONTEXT_STOP)
+    return sampling.until_every_value(w, "aln_id", "context", "n", CONTEXT_SEEN)
 
 
 def novel_isoforms(spark: SparkSession, sf_dir: str) -> DataFrame:

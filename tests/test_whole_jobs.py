@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 
 from strandloom import plans
 from strandloom.operators import sampling
-from strandloom.plans import annotate, sql
+from strandloom.plans import annotate, sql, transcriptome
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +31,13 @@ def test_more_annotated_reads_than_reads_is_an_error(spark):
     assert sorted(r["v"] or "" for r in sampling.with_null_draws(found, "name", "k", "v", reads(4)).collect()) == ["", "", "", "g"]
     with pytest.raises(PySparkException, match="more annotated reads"):
         sampling.with_null_draws(found, "name", "k", "v", reads(1)).collect()
+
+
+def test_contexts_are_seen_5000_times(spark):
+    sf = "/root/testdata/sf0.01"
+    short = transcriptome.ORACLES["context_sample"]
+    whole = short.replace("upto >= 50)", "upto >= 5000)")
+    assert whole != short
+    con = connect(sf)
+    assert_same(spark, sf, con, transcriptome.context_sample, whole)
+    assert 3000 < len(con.execute(whole).fetchall()) < 15000
