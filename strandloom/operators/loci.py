@@ -28,8 +28,8 @@ def locus_reads(reads: DataFrame, tile: int = intervals.TILE) -> DataFrame:
     return inside.join(numbered, ["chrom", "locus_start", "locus_end"])
 
 
-def depth_statistics(reads: DataFrame, row_id: str, min_depth: int, tile: int = intervals.TILE) -> DataFrame:
-    """(row_id, average_depth, covered_share): mean depth over a read's span and the share at ``min_depth`` or more.
+def _depth_sums(reads: DataFrame, row_id: str, min_depth: float, tile: int) -> DataFrame:
+    """(row_id, area, deep, size): depth summed over a read's span, its bases at ``min_depth`` or more and all of them.
 
     Depth is integrated along each tile once; a read then needs the integral at its two
     ends only, looked up in the tile, however many depth changes lie between. Reads over
@@ -46,8 +46,27 @@ def depth_statistics(reads: DataFrame, row_id: str, min_depth: int, tile: int =
     integral = level.select("chrom", "_tile", "pos", (F.sum(F.col("depth") * F.col("width")).over(w) - F.col("depth") * F.col("width")).alias("area"), (F.sum(deep).over(w) - deep).alias("deep"))
     at = lambda side: integral.withColumnsRenamed({"pos": side, "area": f"{side}_area", "deep": f"{side}_deep"})
     both = parts.join(at("start"), ["chrom", "_tile", "start"]).join(at("end"), ["chrom", "_tile", "end"])
-    size = F.sum(F.col("end") - F.col("start"))
-    return both.groupBy(row_id).agg(F.round(F.sum(F.col("end_area") - F.col("start_area")) / size, 6).alias("average_depth"), F.round(F.sum(F.col("end_deep") - F.col("start_deep")) / size, 6).alias("covered_share"))
+    total = lambda to, since: F.sum(F.col(to) - F.col(since))
+    return both.groupBy(row_id).agg(total("end_area", "start_area").alias("area"), total("end_deep", "start_deep").alias("deep"), total("end", "start").alias("size"))
+
+
+def depth_statistics(reads: DataFrame, row_id: str, min_depth: float, tile: int = intervals.TILE) -> DataFrame:
+    """(row_id, average_depth, covered_share): mean depth over a read's span and the share at ``min_depth`` or more."""
+    share = lambda part: F.round(F.col(part) / F.col("size"), 6)
+    return _depth_sums(reads, row_id, min_depth, tile).select(row_id, share("area").alias("average_depth"), share("deep").alias("covered_share"))
+
+
+def deep_reads(reads: DataFrame, row_id: str, min_exons: int = 2, min_depth: float = 1.5, min_share: float = 0.8, tile: int = intervals.TILE) -> DataFrame:
+    """Reads (with exon_count) that loci are made of: of ``min_exons`` or more and, among these, deep enough.
+
+    Mean depth is at least ``min_depth``; if that is over 1, at least ``min_share`` of the span has it too.
+    """
+    several = reads.filter(F.col("exon_count") >= min_exons)
+    share = lambda part: F.col(part) / F.col("size")
+    deep = share("area") >= min_depth
+    if min_depth > 1:
+        deep &= share("deep") >= min_share
+    return several.join(_depth_sums(several, row_id, min_depth, tile).filter(deep).select(row_id), row_id, "left_semi")
 
 
 def exon_components(read_exons: DataFrame, row_id: str, tile: int = intervals.TILE) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import annotate, bias, coverage, errors, intervals, junctions, loci, novel, reads, sampling, stats
 from strandloom.plans import fixtures, sql
+from strandloom.session import materialize
 from strandloom.sources import formats
 
 #: Tile of the exon joins: a few exons long on these coordinates.
@@ -49,21 +50,35 @@ def nr_isoforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return junctions.nonredundant(fixtures.read_exons(spark, sf_dir)).withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
 
 
-def _locus_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _span_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reads in the loci of their spans, as the reference clusters them before it drops any."""
     return loci.locus_reads(fixtures.reads(spark, sf_dir))
 
 
+def _deep_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written once, as clusters and components read them several times."""
+    return materialize(loci.deep_reads(fixtures.reads(spark, sf_dir), "read_name"), "deep")
+
+
+def _locus_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loci.locus_reads(_deep_reads(spark, sf_dir))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("locus", "chrom", "locus_start", "locus_end").agg(F.count("*").alias("n_reads"))
+
+
 def locus_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _locus_reads(spark, sf_dir).select("read_name", "locus")
 
 
 def loci_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _locus_reads(spark, sf_dir).groupBy("locus", "chrom", "locus_start", "locus_end").agg(F.count("*").alias("n_reads"))
+    return _counted(_locus_reads(spark, sf_dir))
 
 
 def novel_loci_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loci under names made of their number, read count and range."""
-    return loci_counts(spark, sf_dir).select(F.expr("concat('LOC', locus, '|', n_reads, '|', chrom, ':', locus_start, '-', locus_end)").alias("name"))
+    return _counted(_span_reads(spark, sf_dir)).select(F.expr("concat('LOC', locus, '|', n_reads, '|', chrom, ':', locus_start, '-', locus_end)").alias("name"))
 
 
 def locus_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +87,8 @@ def locus_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def locus_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The size of each set of reads that exons link; a set is named by its smallest read."""
-    rows = loci.exon_components(fixtures.read_exons(spark, sf_dir), "read_name")
+    kept = _deep_reads(spark, sf_dir).select("read_name")
+    rows = loci.exon_components(fixtures.read_exons(spark, sf_dir).join(kept, "read_name", "left_semi"), "read_name")
     return rows.groupBy("component").agg(F.min("read_name").alias("first_read"), F.count("*").alias("n_reads")).drop("component")
 
 
@@ -93,17 +109,19 @@ def bias_bins_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bias.bias_bins(fixtures.read_exons(spark, sf_dir), fixtures.exons(spark, sf_dir), a, covered_ends=True, overflow=False)
 
 
-def _keyed_locus_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _locus_reads(spark, sf_dir).select(F.expr("cast(substr(read_name, 2) as bigint)").alias("read"), "locus")
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.expr("cast(substr(read_name, 2) as bigint)").alias("read"), "locus")
 
 
 def rarefaction_locus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.rarefaction(_keyed_locus_reads(spark, sf_dir), "read", "locus", 10)
+    """A curve over all reads; those in no locus are draws that find nothing."""
+    every = fixtures.reads(spark, sf_dir).select("read_name").join(locus_reads(spark, sf_dir), "read_name", "left")
+    return sampling.rarefaction(materialize(_keyed(every), "draws"), "read", "locus", 10)
 
 
 def locus_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 100 reads of each locus."""
-    return sampling.downsample_groups(_keyed_locus_reads(spark, sf_dir), ["locus"], "read", 100)
+    return sampling.downsample_groups(_keyed(_span_reads(spark, sf_dir)), ["locus"], "read", 100)
 
 
 def context_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ from oracle import assert_same, connect
 from pyspark.errors import PySparkException
 
 from strandloom import plans
-from strandloom.operators import sampling
-from strandloom.plans import annotate, sql, transcriptome
+from strandloom.operators import loci, sampling
+from strandloom.plans import annotate, fixtures, sql, transcriptome
 
 
 @pytest.fixture(scope="module")
@@ -41,3 +41,33 @@ def test_contexts_are_seen_5000_times(spark):
     con = connect(sf)
     assert_same(spark, sf, con, transcriptome.context_sample, whole)
     assert 3000 < len(con.execute(whole).fetchall()) < 15000
+
+
+_KEPT = f"""{fixtures.READ_EXONS}, {fixtures.READS}, mr AS (SELECT * FROM v_reads WHERE exon_count >= 2), {sql.depth("seg", "mr")},
+kr AS (SELECT * FROM mr WHERE read_name IN (SELECT read_name FROM (SELECT mr.read_name, mr.e - mr.s AS n, depth, least(mr.e, seg.e) - greatest(mr.s, seg.s) AS w FROM mr JOIN seg ON mr.chrom = seg.chrom AND mr.s < seg.e AND seg.s < mr.e)
+ GROUP BY read_name HAVING sum(depth * w) / any_value(n) >= 1.5 AND coalesce(sum(w) FILTER (depth >= 1.5), 0) / any_value(n) >= 0.8)), """
+_LOCI = _KEPT + transcriptome._LOCI[transcriptome._LOCI.index("lg AS") :].replace("FROM v_reads)", "FROM kr)")
+LOCI = {
+    "locus_reads": "SELECT read_name, CAST(locus AS BIGINT) AS locus FROM li",
+    "loci_counts": "SELECT * FROM lc",
+    "rarefaction_locus": f"kl AS (SELECT CAST(substr(read_name, 2) AS BIGINT) AS read, CAST(locus AS BIGINT) AS locus FROM v_reads LEFT JOIN (SELECT read_name, locus FROM li) USING (read_name)), {sql.rarefaction('kl', 'read', 'locus', 10, 1)}",
+}
+
+
+@pytest.mark.parametrize("name", sorted(LOCI))
+def test_loci_are_made_of_deep_reads(spark, sf, con, name):
+    assert_same(spark, sf, con, plans.queries()[name], f"WITH {_LOCI}{', ' if name.startswith('rare') else ' '}{LOCI[name]}")
+
+
+def test_components_are_made_of_deep_reads(spark, sf, con):
+    kept, every = (con.execute(f"WITH {_LOCI} SELECT count(*) FROM {t}").fetchone()[0] for t in ("kr", "v_reads"))
+    assert 0 < kept < every
+    assert transcriptome.locus_components(spark, sf).agg({"n_reads": "sum"}).first()[0] == kept
+
+
+def test_deep_reads(spark):
+    rows = [("a", 0, 100, 2), ("b", 0, 100, 3), ("one", 0, 100, 1), ("lone", 200, 300, 2), ("c", 400, 500, 2), ("d", 400, 480, 2), ("e", 600, 700, 2), ("f", 600, 679, 2), ("g", 600, 679, 2), ("beside", 900, 990, 2), ("single", 900, 990, 1)]
+    reads = spark.createDataFrame([(n, "c", s, e, x) for n, s, e, x in rows], "read_name string, chrom string, start long, end long, exon_count int")
+    names = lambda **k: sorted(r["read_name"] for r in loci.deep_reads(reads, "read_name", tile=64, **k).collect())
+    assert names() == ["a", "b", "c", "d", "f", "g"]
+    assert names(min_depth=1) == ["a", "b", "beside", "c", "d", "e", "f", "g", "lone"]
