@@ -38,11 +38,24 @@ def variance_rollup(found: DataFrame) -> DataFrame:
     return found.agg(part(d < 0).alias("truncated"), part(d == 0).alias("perfect"), part(d > 0).alias("elongated"))
 
 
-def nonredundant(read_exons: DataFrame, tolerance: int = 10, support: int = 2) -> DataFrame:
+def _outermost(spans: DataFrame, keys: list[str], side: str, end_support: int) -> DataFrame:
+    """(keys, side): the outermost ``side`` that at least ``end_support`` reads of the group reach, the innermost where the group has fewer.
+
+    Equal ends are counted first, so that the running count goes over distinct ends.
+    """
+    order, inner = (F.col(side), F.max) if side == "start" else (F.col(side).desc(), F.min)
+    counts = spans.groupBy(*keys, side).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(order))
+    reached = counts.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_n"))
+    return reached.filter(F.col("_before") < end_support).groupBy(*keys).agg(inner(side).alias(side))
+
+
+def nonredundant(read_exons: DataFrame, tolerance: int = 10, support: int = 2, end_support: int = 2) -> DataFrame:
     """Isoforms of reads with one chain of junctions: (chrom, strand, chain, start, end, n_reads).
 
     A side is snapped to the side with most reads within ``tolerance`` (the smaller
-    position on ties) first; chains of fewer than ``support`` reads drop out.
+    position on ties) first; chains of fewer than ``support`` reads drop out. An isoform
+    begins and ends at the outermost places that ``end_support`` of its reads reach.
     """
     sides = junction_sides(read_exons, "read_name")
     counts = sides.groupBy("chrom", "side", "pos").agg(F.count("*").alias("n"))
@@ -53,5 +66,8 @@ def nonredundant(read_exons: DataFrame, tolerance: int = 10, support: int = 2) -
     snapped = near.groupBy("chrom", "side", "pos").agg(F.max_by("to", F.struct("m", -F.col("to"))).alias("to"))
     chains = sides.join(snapped, ["chrom", "side", "pos"]).groupBy("read_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("to", "side"))), lambda x: x["to"].cast("string")), ",").alias("chain"))
     spans = read_exons.groupBy("read_name", "chrom", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    grouped = spans.join(chains, "read_name").groupBy("chrom", "strand", "chain")
-    return grouped.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_reads")).filter(F.col("n_reads") >= support)
+    keys = ["chrom", "strand", "chain"]
+    rows = spans.join(chains, "read_name").select(*keys, "start", "end")
+    kept = rows.groupBy(*keys).agg(F.count("*").alias("n_reads")).filter(F.col("n_reads") >= support)
+    found = kept.join(_outermost(rows, keys, "start", end_support), keys).join(_outermost(rows, keys, "end", end_support), keys)
+    return found.select(*keys, "start", "end", "n_reads")

@@ -5,7 +5,7 @@ from oracle import assert_same, connect
 from pyspark.errors import PySparkException
 
 from strandloom import plans
-from strandloom.operators import loci, sampling
+from strandloom.operators import junctions, loci, sampling
 from strandloom.plans import annotate, fixtures, sql, transcriptome
 
 
@@ -71,3 +71,20 @@ def test_deep_reads(spark):
     names = lambda **k: sorted(r["read_name"] for r in loci.deep_reads(reads, "read_name", tile=64, **k).collect())
     assert names() == ["a", "b", "c", "d", "f", "g"]
     assert names(min_depth=1) == ["a", "b", "beside", "c", "d", "e", "f", "g", "lone"]
+
+
+def test_isoform_ends_are_reached_by_two_reads(spark):
+    sf = "/root/testdata/sf0.01"  # sf0.001 has no isoform
+    whole = f"""WITH {transcriptome._NR} SELECT chrom, strand, chain, list_sort(list(s))[2] AS start_pos, list_reverse_sort(list(e))[2] AS end_pos, count(*) AS n_reads
+FROM v_reads JOIN ch USING (read_name) GROUP BY ALL HAVING count(*) >= 2"""
+    assert_same(spark, sf, connect(sf), transcriptome.nr_isoforms, whole)
+
+
+def test_one_outlying_read_does_not_stretch_an_isoform(spark):
+    spans = [(0, 900), (40, 510), (40, 500), (45, 505), (50, 510)]
+    rows = [(f"r{i}", "c", "+", k, *x) for i, (s, e) in enumerate(spans) for k, x in enumerate([(s, 100), (400, e)])]
+    reads = spark.createDataFrame(rows, "read_name string, chrom string, strand string, exon_no int, start long, end long")
+    ends = lambda **k: [(r["start"], r["end"], r["n_reads"]) for r in junctions.nonredundant(reads, **k).collect()]
+    assert ends() == [(40, 510, 5)]
+    assert ends(end_support=1) == [(0, 900, 5)]
+    assert ends(end_support=4) == [(45, 505, 5)]
