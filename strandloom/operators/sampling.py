@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 # The grid 1, 2, 3, 4, 5, 10, 20, 30, 40, 50, 100, ... up to 10**17.
 GRID = [1] + [m * 10**e for e in range(17) for m in (2, 3, 4, 5, 10)]
 
-#: The draw order is an integer mix modulo this prime, so that another engine can replay it.
-PRIME = 2147483647
+#: Hexadecimal digits of a row's place in a draw order, and the number of places.
+DIGITS = 15
+PLACES = 16**DIGITS
 BUCKETS = 1024
 
 
 def mix(key: Column, sample: Column) -> Column:
-    """Pseudo-random place of a row in a sample's order, 0 to PRIME - 1."""
-    return ((key % PRIME) * 7919 + sample * 104729 + 12345) % PRIME * 48271 % PRIME
+    """Pseudo-random place of a row in a sample's order, 0 to PLACES - 1.
+
+    The first digits of the MD5 of "key:sample", so that samples are independent of one
+    another and another engine can replay them.
+    """
+    digest = F.md5(F.concat_ws(":", key.cast("string"), sample.cast("string")))
+    return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("long")
 
 
 def draw_ranks(df: DataFrame, key: str, samples: int, buckets: int = BUCKETS) -> DataFrame:
@@ -26,7 +32,7 @@ def draw_ranks(df: DataFrame, key: str, samples: int, buckets: int = BUCKETS) ->
     no task sorts a whole sample.
     """
     rows = df.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("_at", mix(F.col(key), F.col("sample")))
-    rows = rows.withColumn("_bucket", F.expr(f"_at div {PRIME // buckets + 1}"))
+    rows = rows.withColumn("_bucket", F.expr(f"_at div {PLACES // buckets + 1}"))
     sizes = rows.groupBy("sample", "_bucket").agg(F.count("*").alias("_n"))
     before = sizes.select("sample", "_bucket", (F.sum("_n").over(Window.partitionBy("sample").orderBy("_bucket")) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("sample", "_bucket").orderBy("_at", key))
@@ -108,7 +114,7 @@ def within_budget(df: DataFrame, key: str, size: str, budget: int, seed: int = 0
 
     Sums of order ranges first, so that only ranges that can hold the end are sorted.
     """
-    rows = df.withColumn("_at", mix(F.col(key), F.lit(seed))).withColumn("_bucket", F.expr(f"_at div {PRIME // buckets + 1}"))
+    rows = df.withColumn("_at", mix(F.col(key), F.lit(seed))).withColumn("_bucket", F.expr(f"_at div {PLACES // buckets + 1}"))
     sizes = rows.groupBy("_bucket").agg(F.sum(size).alias("_sum"))
     before = sizes.select("_bucket", F.coalesce(F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")).filter(F.col("_before") < budget)
     inside = F.coalesce(F.sum(size).over(Window.partitionBy("_bucket").orderBy("_at", key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

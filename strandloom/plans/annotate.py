@@ -149,7 +149,9 @@ SELECT 'exons', CASE WHEN {count} > 20 THEN '>20' ELSE CAST({count} AS VARCHAR)
 
 def _rare(key: str, full: bool, depth: int) -> str:
     value = f"CASE WHEN match_type = 'full' THEN {key} END" if full else key
-    return f"WITH {_A}, ra AS (SELECT read_line, {value} AS v FROM a), {sql.rarefaction('ra', 'read_line', 'v', SAMPLES, depth)}"
+    draws = f"""ra AS (SELECT read_line, {value} AS v FROM a UNION ALL
+SELECT CAST('0x' || substr(md5(qname), 1, 15) AS BIGINT), NULL FROM (SELECT DISTINCT qname FROM lengths) WHERE qname NOT IN (SELECT read_name FROM a))"""
+    return f"WITH {_A}, {draws}, {sql.rarefaction('ra', 'read_line', 'v', SAMPLES, depth)}"
 
 
 ORACLES = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.operators.sampling import GRID, PRIME
+from strandloom.operators.sampling import DIGITS, GRID
 
 ALN = """aln AS (SELECT DISTINCT aln_id, qname, flag, qlen, q_start, q_end, chrom, strand, t_start, t_end, aligned_bases FROM alndata)"""
 
@@ -44,7 +44,7 @@ def length_bin(column: str) -> str:
 
 def mix(key: str, sample: str) -> str:
     """The draw order of strandloom.operators.sampling."""
-    return f"((({key} % {PRIME}) * 7919 + {sample} * 104729 + 12345) % {PRIME} * 48271 % {PRIME})"
+    return f"CAST('0x' || substr(md5({key} || ':' || {sample}), 1, {DIGITS}) AS BIGINT)"
 
 
 def rarefaction(source: str, key: str, value: str, samples: int, depth: int) -> str:

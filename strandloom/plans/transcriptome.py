@@ -13,8 +13,6 @@ from strandloom.sources import formats
 #: Tile of the exon joins: a few exons long on these coordinates.
 TILE = 512
 MIN_DEPTH = 2
-#: The stop in the SQL of context_sample, a hundredth of the reference's.
-CONTEXT_STOP = 50
 CONTEXT_SEEN = 5_000
 
 
@@ -197,9 +195,24 @@ jd AS (SELECT CASE WHEN side = 'start' THEN site - pos ELSE pos - site END AS di
 _NR = f"""{fixtures.READ_EXONS}, {_sides("rj", "v_read_exons", "read_name")}, ct AS (SELECT chrom, side, pos, count(*) AS n FROM rj GROUP BY ALL),
 sn AS (SELECT a.chrom, a.side, a.pos, arg_max(b.pos, b.n * 1000000000 - b.pos) AS goal FROM ct a JOIN ct b ON a.chrom = b.chrom AND a.side = b.side AND abs(a.pos - b.pos) <= 10 GROUP BY ALL),
 ch AS (SELECT id AS read_name, string_agg(CAST(goal AS VARCHAR), ',' ORDER BY goal, side) AS chain FROM rj JOIN sn USING (chrom, side, pos) GROUP BY id), {fixtures.READS}"""
-_LOCI = f"""{fixtures.READ_EXONS}, {fixtures.READS}, lg AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e, read_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM v_reads),
+_VIEWS = f"{fixtures.READ_EXONS}, {fixtures.READS}"
+#: The reads that loci are made of: two exons, and depth enough over their span.
+_DEEP = f"""mr AS (SELECT * FROM v_reads WHERE exon_count >= 2), {sql.depth("seg", "mr")},
+kr AS (SELECT * FROM mr WHERE read_name IN (SELECT read_name FROM (SELECT mr.read_name, mr.e - mr.s AS n, depth, least(mr.e, seg.e) - greatest(mr.s, seg.s) AS w FROM mr JOIN seg ON mr.chrom = seg.chrom AND mr.s < seg.e AND seg.s < mr.e)
+ GROUP BY read_name HAVING sum(depth * w) / any_value(n) >= 1.5 AND coalesce(sum(w) FILTER (depth >= 1.5), 0) / any_value(n) >= 0.8))"""
+
+
+def _loci(source: str) -> str:
+    return f"""lg AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e, read_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM {source}),
 li AS (SELECT *, sum(CASE WHEN pm >= s THEN 0 ELSE 1 END) OVER (ORDER BY chrom, s, e, read_name ROWS UNBOUNDED PRECEDING) AS locus FROM lg),
 lc AS (SELECT CAST(locus AS BIGINT) AS locus, chrom, min(s) AS locus_start, max(e) AS locus_end, count(*) AS n_reads FROM li GROUP BY ALL)"""
+
+
+_SPAN_LOCI, _DEEP_LOCI = f"{_VIEWS}, {_loci('v_reads')}", f"{_VIEWS}, {_DEEP}, {_loci('kr')}"
+_COMPONENTS = f"""RECURSIVE {_VIEWS}, {_DEEP}, kx AS (SELECT read_name, chrom, s, e FROM v_read_exons WHERE read_name IN (SELECT read_name FROM kr)), {sql.merged("mi", "kx")},
+mj AS (SELECT *, row_number() OVER (ORDER BY chrom, s) AS island FROM mi), lk AS (SELECT DISTINCT read_name, island FROM kx JOIN mj ON kx.chrom = mj.chrom AND kx.s >= mj.s AND kx.e <= mj.e),
+ed AS (SELECT DISTINCT a.island AS a, b.island AS b FROM lk a JOIN lk b USING (read_name)), reach AS (SELECT a, b FROM ed UNION SELECT reach.a, ed.b FROM reach JOIN ed ON reach.b = ed.a),
+co AS (SELECT a AS island, min(b) AS component FROM reach GROUP BY a), cr AS (SELECT DISTINCT read_name, component FROM lk JOIN co USING (island))"""
 _BIAS = f"""{_BEST}, gd AS (SELECT read_name, tx FROM ba WHERE matching_exon_count >= 2 AND read_length >= 100), cn AS (SELECT tx, count(*) AS reads FROM gd GROUP BY tx HAVING count(*) >= 5),
 px AS (SELECT tx, strand, s, e, sum(e - s) OVER (PARTITION BY tx ORDER BY s) - (e - s) AS off, sum(e - s) OVER (PARTITION BY tx) AS len FROM v_exons),
 pb AS (SELECT px.tx, px.strand, len, off + unnest(range(greatest(r.s, px.s) - px.s, least(r.e, px.e) - px.s)) AS p FROM v_read_exons r JOIN gd USING (read_name) JOIN cn ON gd.tx = cn.tx JOIN px ON px.tx = gd.tx AND r.s < px.e AND px.s < r.e),
@@ -228,7 +241,7 @@ pv AS (SELECT read_name, CAST(coalesce(sum(o) FILTER (kind = 'exon'), 0) AS BIGI
 xf AS (SELECT read_name AS qname, read_length AS length, x AS exon_bases, i AS intron_bases, g AS intergenic_bases, CASE WHEN 2 * x >= read_length THEN 'exon' WHEN 2 * i >= read_length THEN 'intron' WHEN 2 * g >= read_length THEN 'intergenic'
  WHEN x >= i AND x >= g THEN 'exon' WHEN i >= g THEN 'intron' ELSE 'intergenic' END AS feature, exon_count FROM pv JOIN v_reads USING (read_name))"""
 
-_KEYED = f"{_LOCI}, kl AS (SELECT CAST(substr(read_name, 2) AS BIGINT) AS read, CAST(locus AS BIGINT) AS locus FROM li)"
+_KEYED = f"{_SPAN_LOCI}, kl AS (SELECT CAST(substr(read_name, 2) AS BIGINT) AS read, CAST(locus AS BIGINT) AS locus FROM li)"
 
 ORACLES = {
     "exon_read_features": f"WITH {_XF} SELECT * FROM xf",
@@ -236,17 +249,18 @@ ORACLES = {
 SELECT 'exons', CASE WHEN exon_count > 20 THEN '>20' ELSE CAST(exon_count AS VARCHAR) END AS bin, feature, count(*) AS n FROM xf GROUP BY ALL""",
     "bias_bins_trimmed": f"WITH {_TRIM}",
     "locus_downsample": f"WITH {_KEYED} SELECT read, locus FROM kl QUALIFY row_number() OVER (PARTITION BY locus ORDER BY {sql.mix('read', '0')}, read) <= 100",
-    "rarefaction_locus": f"WITH {_KEYED}, {sql.rarefaction('kl', 'read', 'locus', 10, 1)}",
+    "rarefaction_locus": f"WITH {_DEEP_LOCI}, kl AS (SELECT CAST(substr(read_name, 2) AS BIGINT) AS read, CAST(locus AS BIGINT) AS locus FROM v_reads LEFT JOIN (SELECT read_name, locus FROM li) USING (read_name)), {sql.rarefaction('kl', 'read', 'locus', 10, 1)}",
     "context_sample": f"""WITH {_ERR}, ca AS (SELECT aln_id, tb || target || ta AS context, count(*) AS n FROM nb WHERE target <> '-' AND tb <> '-' AND ta <> '-' GROUP BY ALL),
 rk AS (SELECT aln_id, row_number() OVER (ORDER BY {sql.mix('aln_id', '0')}, aln_id) AS rank FROM (SELECT DISTINCT aln_id FROM ca)), cu AS (SELECT context, rank, sum(n) OVER (PARTITION BY context ORDER BY rank) AS upto FROM ca JOIN rk USING (aln_id)),
-st AS (SELECT context, min(rank) FILTER (upto >= {CONTEXT_STOP}) AS stop FROM cu GROUP BY context) SELECT aln_id, rank FROM rk WHERE rank <= (SELECT CASE WHEN count(*) = count(stop) THEN max(stop) ELSE 4611686018427387904 END FROM st)""",
+st AS (SELECT context, min(rank) FILTER (upto >= {CONTEXT_SEEN}) AS stop FROM cu GROUP BY context) SELECT aln_id, rank FROM rk WHERE rank <= (SELECT CASE WHEN count(*) = count(stop) THEN max(stop) ELSE 4611686018427387904 END FROM st)""",
     "best_annotation": f"WITH {_BEST} SELECT * FROM ba",
     "junction_distances": f"WITH {_JUNC} SELECT * FROM jd",
     "junvar_rollup": f"WITH {_JUNC} SELECT CAST(coalesce(sum(n) FILTER (distance < 0), 0) AS BIGINT) AS truncated, CAST(coalesce(sum(n) FILTER (distance = 0), 0) AS BIGINT) AS perfect, CAST(coalesce(sum(n) FILTER (distance > 0), 0) AS BIGINT) AS elongated FROM jd",
-    "nr_isoforms": f"WITH {_NR} SELECT chrom, strand, chain, min(s) AS start_pos, max(e) AS end_pos, count(*) AS n_reads FROM v_reads JOIN ch USING (read_name) GROUP BY ALL HAVING count(*) >= 2",
-    "locus_reads": f"WITH {_LOCI} SELECT read_name, CAST(locus AS BIGINT) AS locus FROM li",
-    "loci_counts": f"WITH {_LOCI} SELECT * FROM lc",
-    "novel_loci_named": f"WITH {_LOCI} SELECT 'LOC' || locus || '|' || n_reads || '|' || chrom || ':' || locus_start || '-' || locus_end AS name FROM lc",
+    "locus_components": f"WITH {_COMPONENTS} SELECT min(read_name) AS first_read, count(*) AS n_reads FROM cr GROUP BY component",
+    "nr_isoforms": f"WITH {_NR} SELECT chrom, strand, chain, list_sort(list(s))[2] AS start_pos, list_reverse_sort(list(e))[2] AS end_pos, count(*) AS n_reads FROM v_reads JOIN ch USING (read_name) GROUP BY ALL HAVING count(*) >= 2",
+    "locus_reads": f"WITH {_DEEP_LOCI} SELECT read_name, CAST(locus AS BIGINT) AS locus FROM li",
+    "loci_counts": f"WITH {_DEEP_LOCI} SELECT * FROM lc",
+    "novel_loci_named": f"WITH {_SPAN_LOCI} SELECT 'LOC' || locus || '|' || n_reads || '|' || chrom || ':' || locus_start || '-' || locus_end AS name FROM lc",
     "locus_coverage": f"""WITH {fixtures.READ_EXONS}, {fixtures.READS}, {sql.depth("seg", "v_reads")}, o AS (SELECT read_name, depth, least(v_reads.e, seg.e) - greatest(v_reads.s, seg.s) AS w, v_reads.e - v_reads.s AS n FROM v_reads JOIN seg ON v_reads.chrom = seg.chrom AND v_reads.s < seg.e AND seg.s < v_reads.e)
 SELECT read_name, round(sum(depth * w) / any_value(n), 6) AS average_depth, round(coalesce(sum(w) FILTER (depth >= {MIN_DEPTH}), 0) / any_value(n), 6) AS covered_share FROM o GROUP BY read_name""",
     "bias_bins": f"WITH {_BIAS} SELECT * FROM bb",

@@ -1,3 +1,7 @@
+import hashlib
+
+import numpy as np
+
 from strandloom.operators import annotate, novel, sampling
 
 EXONS = "tx string, gene string, chrom string, strand string, exon_no int, start long, end long"
@@ -22,7 +26,7 @@ def test_classes_isoforms_and_loci(spark):
     got = {r["read_name"]: (r["match_type"], r["matching_exon_count"], r["consecutive_exons"]) for r in best.collect()}
     assert got == {"full": ("full", 3, 3), "subset": ("partial", 2, 2), "n1": ("partial", 2, 1), "n2": ("partial", 2, 1)}
     fresh, found = novel.novel_transcriptome(reads, reference, 64)
-    assert [(r["chain"], r["start"], r["end"], r["n_reads"]) for r in fresh.collect()] == [("100,400", 0, 500, 2)]
+    assert [(r["chain"], r["start"], r["end"], r["n_reads"]) for r in fresh.collect()] == [("100,400", 5, 500, 2)]  # two reads reach 5, one reaches 0
     assert [r["name"] for r in found.collect()] == ["LOC1|2|d:0-130"]
 
 
@@ -44,6 +48,22 @@ def test_curves_and_draws(spark):
 def test_downsample_takes_exactly_the_first_rows(spark):
     df = spark.createDataFrame([(i, "x") for i in range(200)], "k long, _one string")
     got = {r["k"] for r in sampling.downsample(df.select("k"), "k", 37).collect()}
-    place = lambda k: ((k * 7919 + 12345) % sampling.PRIME * 48271 % sampling.PRIME, k)
+    place = lambda k: (hashlib.md5(f"{k}:0".encode()).hexdigest()[:15], k)
     assert got == set(sorted(range(200), key=place)[:37])
     assert sampling.downsample(df.select("k"), "k", 500).count() == 200
+
+
+def test_samples_are_independent_shuffles(spark):
+    n, samples, first, marked = 400, 200, 100, 120
+    rows = sampling.draw_ranks(spark.range(n).withColumnRenamed("id", "k"), "k", samples).select("sample", "rank", "k").orderBy("sample", "rank").toPandas()
+    orders = rows["k"].to_numpy().reshape(samples, n)
+    assert all(sorted(o) == list(range(n)) for o in orders[:5])
+    # In a rotation, or any fixed rearrangement of neighbours, most keys keep their successor.
+    after = [dict(zip(o, o[1:])) for o in orders]
+    assert max(sum(after[0].get(k) == v for k, v in a.items()) for a in after[1:]) < 10
+    # How many marked keys are among the first draws is hypergeometric.
+    hits = (orders[:, :first] < marked).sum(axis=1)
+    mean, share = first * marked / n, marked / n
+    variance = first * share * (1 - share) * (n - first) / (n - 1)
+    assert abs(hits.mean() - mean) < 4 * (variance / samples) ** 0.5
+    assert 0.65 < hits.var(ddof=1) / variance < 1.45
