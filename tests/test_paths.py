@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 from strandloom.operators.paths import PathOptions, resolve_paths
 
 SCHEMA = "aln_id long, qname string, flag int, qlen long, q_start long, q_end long, chrom string, strand string, t_start long, t_end long, aligned_bases long"
@@ -9,7 +11,7 @@ SCHEMA = "aln_id long, qname string, flag int, qlen long, q_start long, q_end lo
 def brute(rows, o):
     rows = [r for r in sorted(rows) if (r[10] or 0) > 0]
     if not rows:
-        return "unaligned", 0
+        return "unaligned", 0, []
     best = min(rows, key=lambda r: (0 if r[2] is not None and r[2] & 2304 == 0 else 1, r[0]))
     top, found = best[10], None
     for size in range(2, len(rows) + 1):
@@ -24,24 +26,26 @@ def brute(rows, o):
             if bases > top:
                 top, found = bases, (path, pairs)
     if not found:
-        return "original", top
+        return "original", top, [best[0]]
     path, pairs = found
+    ids = [r[0] for r in path]
     near = [(x, y) for x, y in pairs if x[6] == y[6] and min(x[9], y[9]) - max(x[8], y[8]) > o.max_target_overlap]
     if near:
         x, y = near[0]
-        return "self-chimera" if x[7] != y[7] and len({r[6] for r in path}) == 1 else "self-chimera-atypical", top
+        return "self-chimera" if x[7] != y[7] and len({r[6] for r in path}) == 1 else "self-chimera-atypical", top, ids
     far = any(x[6] != y[6] or max(x[8], y[8]) - min(x[9], y[9]) > o.max_target_gap for x, y in pairs)
-    return "chimera" if far else "gapped", top
+    return "chimera" if far else "gapped", top, ids
 
 
-def reads(count, most, seed):
+def reads(count, most, seed, stretch=1, values=400):
+    """Reads of 1 to ``most`` entries; a large ``stretch`` puts gaps between them, few ``values`` make ties."""
     rng = random.Random(seed)
     out, i = [], 0
     for q in range(count):
-        for _ in range(rng.randrange(1, most)):
-            s, n = rng.randrange(0, 1500), rng.randrange(20, 400)
-            t = rng.randrange(0, 3000)
-            out.append((i, f"q{q}", rng.choice([0, 16, 256, 2048, None]), 2000, s, s + n, rng.choice(["a", "a", "b"]), rng.choice("+-"), t, t + n, n if rng.random() > 0.1 else 0))
+        for _ in range(rng.randrange(1, most + 1)):
+            s, n = rng.randrange(0, 1500) * rng.choice([1, stretch]), rng.choice([5, 10, rng.randrange(20, 400)])
+            t, w = rng.randrange(0, 3000), rng.randrange(60, 60 + values)
+            out.append((i, f"q{q}", rng.choice([0, 16, 256, 2048, None]), 2000, s, s + n, rng.choice(["a", "a", "b"]), rng.choice("+-"), t, t + n, w if rng.random() > 0.1 else rng.choice([0, 20])))
             i += 1
     return out
 
@@ -49,20 +53,33 @@ def reads(count, most, seed):
 def run(spark, rows, o):
     got = {r["qname"]: r for r in resolve_paths(spark.createDataFrame(rows, SCHEMA), o).collect()}
     bases = {r[0]: r[10] for r in rows}
-    return {q: (r["read_type"], sum(bases[m] for m in r["members"])) for q, r in got.items()}
-
-
-def test_all_subsets_against_brute_force(spark):
-    o, rows = PathOptions(max_target_gap=1000), reads(60, 8, 1)
-    by = {q: [r for r in rows if r[1] == q] for q in {r[1] for r in rows}}
-    assert run(spark, rows, o) == {q: brute(v, o) for q, v in by.items()}
+    return {q: (r["read_type"], sum(bases[m] for m in r["members"]), r["members"]) for q, r in got.items()}
 
 
-def test_chains_have_the_same_bases_as_all_subsets(spark):
-    rows = reads(40, 11, 2)
+@pytest.mark.parametrize("o, stretch, values", [(PathOptions(max_target_gap=1000), 1, 400), (PathOptions(max_query_gap=700), 1, 3), (PathOptions(max_query_gap=1_500), 40, 2), (PathOptions(max_query_gap=0, max_query_overlap=30), 1, 1)])
+def test_paths_equal_brute_force(spark, o, stretch, values):
+    rows = reads(60, 12, 1, stretch, values)
     by = {q: [r for r in rows if r[1] == q] for q in {r[1] for r in rows}}
-    for o in (PathOptions(max_target_gap=1000, exhaustive=0), PathOptions(max_target_gap=1000, exhaustive=0, gathered=1)):
-        assert {q: v[1] for q, v in run(spark, rows + rows[:50], o).items()} == {q: brute(v, o)[1] for q, v in by.items()}
+    want = {q: brute(v, o) for q, v in by.items()}
+    assert run(spark, rows + rows[:50], o) == want
+    assert len({w[0] for w in want.values()}) > 2
+
+
+def test_a_gap_between_members_on_two_sides(spark):
+    """Each fits the best entry, but not one another: the same path whatever the number of entries."""
+    ends = [(0, "q", 0, 1_000_000, 500_000, 500_100, "a", "+", 0, 100, 1000), (1, "q", 0, 1_000_000, 10_000, 11_000, "a", "+", 5000, 6000, 900), (2, "q", 0, 1_000_000, 900_000, 901_000, "a", "+", 9000, 9900, 200)]
+    assert run(spark, ends, PathOptions())["q"] == ("gapped", 1900, [1, 0])
+    more = [(3 + i, "q", 0, 1_000_000, 900_000, 901_000, "a", "+", 9000, 9900, 200) for i in range(1500)]
+    assert run(spark, ends + more, PathOptions())["q"] == ("gapped", 1900, [1, 0])
+
+
+def test_many_entries(spark):
+    rng = random.Random(3)
+    rows = [(i, "hot", 0, 50_000, s, s + 200 + i % 7, "a", "+", 10 * s, 10 * s + 200, 200 + i % 7) for i, s in enumerate(rng.randrange(0, 50_000) for _ in range(20_000))]
+    kind, bases, members = run(spark, rows, PathOptions())["hot"]
+    place = {r[0]: (r[4], r[5]) for r in rows}
+    assert 0 in members and bases > 40_000 and all(place[y][0] >= place[x][1] - 10 for x, y in zip(members, members[1:]))
+    assert run(spark, [(r[0], "hot", *r[2:]) for r in rows[:1]] * 30, PathOptions())["hot"] == ("original", 200, [0])
 
 
 def entry(i, q="q", flag=0, s=0, n=100, chrom="a", strand="+", t=0):
