@@ -60,10 +60,81 @@ def test_other_writing(spark):
 
 
 def test_reparameterised_needs_consistent_slots(spark):
-    other = ITEM.replace("Penhem", "Zorqua").replace("Joruvel", "Basol").replace("12", "99")
-    mixed = ITEM.replace("Penhem", "Zorqua", 1).replace("Joruvel", "Basol").replace("Penhem", "Ulfe").replace("12", "99")
-    got = run(spark, [(1, other), (2, mixed), (3, ITEM)], [(10, ITEM)])
-    assert got == {(1, 10): "reparameterised", (3, 10): "exact"}
+    """Wherever the item has a value again, the document has; a consistent run is enough, and two values may become one."""
+    near = "the tank of Penhem that feeds Penhem at noon is drained by Penhem"
+    change = lambda text, *new: re.sub("Penhem", lambda m, it=iter(new): next(it), text)
+    docs = [
+        (1, ITEM.replace("Penhem", "Zorqua").replace("Joruvel", "Basol").replace("12", "99")),
+        (2, change(ITEM, "Zorqua", "Ulfe").replace("Joruvel", "Basol").replace("12", "99")),  # the first ten words and more are consistent
+        (3, ITEM),
+        (4, change(near, "Zorqua", "Zorqua", "Zorqua")),
+        (5, change(near, "Zorqua", "Ulfe", "Mirk")),
+        (6, "from 4 red and 4 blue balls in the box two are drawn"),
+        (7, "from 4 red and 5 blue balls in the box two are drawn"),
+    ]
+    items = [(10, ITEM), (11, near), (12, "from 3 red and 5 blue balls in the box two are drawn"), (13, "from 3 red and 3 blue balls in the box two are drawn")]
+    r = "reparameterised"
+    assert run(spark, docs, items) == {(1, 10): r, (2, 10): r, (3, 10): "exact", (4, 11): r, (6, 12): r, (6, 13): r, (7, 12): r}
+
+
+def test_values_of_several_words(spark):
+    item = "A probe that holds 733 litres is filled from the vat in 9 hours at most."
+    docs = [(1, item.replace("733", "1,200").replace("9 hours", "2,500 milliseconds")), (2, item.replace("733", "1 2 3 4 5 6 7").replace("9", "8"))]
+    assert run(spark, docs, [(10, item)]) == {(1, 10): "reparameterised"}
+
+
+STEMS = [  # a sentence; n is a name, # a number, u a unit and w an ordinary word that tells the questions of a family apart
+    "A worker in n blends # u of n with # u of w w residue", "If the w of n doubles every # u while its w w stays at #, find the w", "Which w w would n need so that n never w the w of w",
+    "Between # and # w w parts leave n each month, and n w the rest of w", "Suppose that # w parts of n are kept in # w w jars near the w of n", "Compute the w that n shows after # rounds of w w exchange with the w of n",
+]
+
+
+def _filled(rng, stem, words, names):
+    """The sentence with values; ``words`` are given, so that it can be written again with other values."""
+    words = iter(words)
+    fill = {"n": lambda: rng.choice(names), "#": lambda: rng.choice([str(rng.randrange(10, 999)), f"{rng.randrange(1, 9)},{rng.randrange(100, 999)}"]), "u": lambda: rng.choice(["grams", "kilograms", "hours", "seconds", "litres"]), "w": lambda: next(words)}
+    return " ".join(fill[t.rstrip(",")]() + ("," if t.endswith(",") else "") if t.rstrip(",") in fill else t for t in stem.split())
+
+
+def test_recall_and_precision_of_planted_questions(spark):
+    """Items are questions of six families; the documents have them with other values, or others of the same families."""
+    rng = random.Random(11)
+    spell = lambda: "".join(rng.choice(["ba", "ko", "ri", "tu", "le", "sna", "pro", "mi"]) for _ in range(4))
+    ordinary = sorted({spell() for _ in range(300)})
+    names, others = ([spell().capitalize() + x for _ in range(80)] for x in ("ul", "ex"))
+    filler = lambda: " ".join(rng.choice(ordinary + others + ["the", "of", "and", "7", "\\alpha", "grams"]) for _ in range(rng.randrange(20, 200)))
+    question = lambda: (stem := rng.choice(STEMS), tuple(rng.choice(ordinary) for _ in range(stem.split().count("w") + stem.split().count("w,"))))
+    bank = [question() for _ in range(250)]
+    items = [(i, [rng.choice(bank) for _ in range(rng.randrange(1, 4))]) for i in range(200)]
+    text = [(i, " ".join((x := _filled(rng, *q, names))[0].upper() + x[1:] + "." for q in qs)) for i, qs in items]
+    docs, want = [], set()
+    for d in range(400):
+        planted = [rng.choice(rng.choice(items)[1])] if d % 2 else []
+        decoys = [q for q in (question() for _ in range(5)) if q not in bank]
+        parts = [filler()] + [x for q in planted + decoys for x in (_filled(rng, *q, others) + ".", filler())]
+        docs.append((d, " ".join(parts)))
+        want |= {(d, i) for i, qs in items for q in planted if q in qs}
+    got = {k for k, v in run(spark, docs, text).items() if v == "reparameterised"}
+    recall, precision = len(got & want) / len(want), len(got & want) / len(got)
+    print(f"recall {recall:.3f} precision {precision:.3f} pairs {len(want)}")
+    assert recall >= 0.9 and precision >= 0.9
+
+
+def test_ten_thousand_items_of_one_stem(spark):
+    """A hot stem costs a row a window and class, whether its items tell apart by ordinary words or by values only."""
+    made = []
+    keep, leaks.materialize = leaks.materialize, lambda df, label: made.append((label, keep(df, label))) or made[-1][1]
+    words = [f"{a}{b}" for a in ("red", "old", "dry", "hot", "low", "far", "wet", "big", "odd", "new") for b in ("ba", "ko", "ri", "tu", "le", "sna", "pro", "mi", "fe", "ga")]
+    same = lambda k: f"A worker in Penhem{k} blends {k} grams of Zor{k} with 7 grams of red oak residue from the old mill"
+    apart = [(20_000 + k, f"A worker in Penhem blends 4 grams of Zor with 7 grams of {words[k % 100]} {words[k // 100]} residue from a well") for k in range(10_000)]
+    docs = [(d, same(f"9{d}")) for d in range(20)] + [(100, "A worker in Joru blends 5 grams of Basol with 9 grams of drysna newga residue from a well"), (101, "a worker in Joru blends 5 grams of Basol with 9 grams of salt")]
+    try:
+        got = run(spark, docs, [(k, same(k)) for k in range(10_000)] + apart)
+    finally:
+        leaks.materialize = keep
+    item = next(k for k, t in apart if "drysna newga" in t)
+    assert len(got) == 20 * 10_000 + 1 and got[100, item] == "reparameterised"
+    assert [t.count() for label, t in made if label == "hits"][0] < 200
 
 
 def test_windows_of_placeholders_only_are_keyed_by_their_words(spark):
