@@ -33,6 +33,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts again, decoded from their ids; null texts come back empty."""
+    return tokens.decode_corpus(p6_ids(spark, sf_dir), "doc_id", "ids")
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
@@ -51,7 +56,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_sample, p5_percentiles, p6_ids, p7_found, p7_leaks, p8_found, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p2_sample, p5_percentiles, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_pieces)}
 
 
 _P5 = """
@@ -74,4 +79,5 @@ SELECT qname, aln_id FROM e
 QUALIFY row_number() OVER (PARTITION BY qname ORDER BY aligned_bases DESC, CASE WHEN (flag & 2304) = 0 THEN 0 ELSE 1 END, aln_id) <= 3
 """,
         "p5_percentiles": _P5,
+        "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

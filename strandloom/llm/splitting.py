@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.tokens import encoder, vocabulary_path
+from strandloom.llm.tokens import ship_vocabulary, shipped_encoder, vocabulary_path
 from strandloom.session import discard, materialize
 
 #: Kinds of boundary, the best last; a token boundary is always possible.
@@ -54,8 +54,8 @@ def _successors(text: str, sizes: np.ndarray, most: int, overlap: int) -> dict[s
     A boundary ``pos`` (in tokens) ends a piece; the next piece begins at ``start``,
     ``overlap`` tokens earlier or at the first character after that, and ends at
     ``next``: of the best kind of boundary that lies in reach, the farthest one.
-    Only boundaries that are a successor of a natural boundary stay, and 0, the
-    beginning; a stretch without any break has the token boundaries that follow from these.
+    Of a stretch without any break, longer than a piece gets on, every token is a boundary.
+    Only boundaries that are a successor of another stay, and 0, the beginning.
     """
     n = len(sizes)
     raw = np.frombuffer(text.encode(), np.uint8)
@@ -84,14 +84,10 @@ def _successors(text: str, sizes: np.ndarray, most: int, overlap: int) -> dict[s
                 to = np.where((to < 0) & (far > pos) & (far <= limit), far, to)
         return start, np.where(limit >= n, n, to)
 
-    every = np.append(0, np.sort(np.concatenate(places[1:])))
-    reached = np.unique(follow(every)[1])
-    # Stretches without a break have token boundaries only where one leads to the next from a natural boundary.
-    bare = reached[(reached < n) & (kinds[np.minimum(reached, n)] == _TOKEN)]
-    while len(bare):
-        further = np.setdiff1d(follow(bare)[1], reached)
-        reached = np.union1d(reached, further)
-        bare = further[(further < n) & (kinds[np.minimum(further, n)] == _TOKEN)]
+    natural = np.unique(np.concatenate([[0, n], *places[1:]]))
+    wide = np.flatnonzero(np.diff(natural) > most - overlap)
+    bare = [starts[(starts > natural[i]) & (starts < natural[i + 1])] for i in wide]
+    reached = np.unique(follow(np.concatenate([natural[:-1], *bare]))[1])
     pos = np.append(0, reached[reached < n])
     start, to = follow(pos)
     return {"pos": pos, "start": start, "next": to, "pos_char": char_of[begin[pos]], "start_char": char_of[begin[start]], "next_char": char_of[begin[to]], "kind": kinds[np.minimum(to, n)]}
@@ -102,14 +98,14 @@ _TABLE = "h long, pos int, start int, next int, pos_char int, start_char int, ne
 
 def successor_table(docs: DataFrame, doc_id: str, text: str, most: int, overlap: int, vocabulary: str | None = None) -> DataFrame:
     """Successors of the boundaries of every text of more than ``most`` tokens; ``doc`` and a hash of the text name the text."""
-    path = vocabulary or vocabulary_path()
+    shipped = ship_vocabulary(docs.sparkSession, vocabulary or vocabulary_path())
     # A token has at least one byte, so shorter texts need no encoding.
     rows = docs.filter(F.octet_length(text) > most).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     doc_type = rows.schema["doc"].dataType.simpleString()
     names = ["pos", "start", "next", "pos_char", "start_char", "next_char"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = shipped_encoder(shipped)
         size_of = np.zeros(bpe.max_token_value + 1, np.int64)
         for token in bpe.token_byte_values():
             size_of[bpe.encode_single_token(token)] = len(token)
@@ -133,20 +129,23 @@ def greedy_cuts(table: DataFrame) -> DataFrame:
     """The rows of a successor table that the greedy cutting from 0 meets.
 
     Round k joins the boundaries met so far with the table of 2**k steps, then squares
-    that table, so the rounds are the logarithm of the most pieces of a text.
+    that table, so the rounds are the logarithm of the most pieces of a text. The tables
+    grow with the texts, so all joins are merge joins, whatever the size of a compressed file.
     """
     on = [F.col("a.doc").eqNullSafe(F.col("b.doc")), F.col("a.h") == F.col("b.h")]
     table = materialize(table, "successors")
-    steps = materialize(table.filter("not last").select("doc", "h", "pos", "next"), "steps")
-    met = table.filter("pos = 0").select("doc", "h", "pos")
-    while not steps.isEmpty():
-        further = met.alias("a").join(steps.alias("b"), [*on, F.col("a.pos") == F.col("b.pos")]).select("b.doc", "b.h", F.col("b.next").alias("pos"))
-        before = met, steps
-        met = materialize(met.unionByName(further), "met")
-        steps = materialize(steps.alias("a").join(steps.alias("b"), [*on, F.col("a.next") == F.col("b.pos")]).select("a.doc", "a.h", "a.pos", "b.next"), "steps")
-        for old in before:
-            discard(old)
-    return table.alias("a").join(met.alias("b"), [*on, F.col("a.pos") == F.col("b.pos")], "left_semi")
+    # One table a round: boundaries met so far have no ``next``, steps have one.
+    begin = table.filter("pos = 0").select("doc", "h", "pos", F.lit(None).cast("int").alias("next"))
+    state = begin.unionByName(table.filter("not last").select("doc", "h", "pos", "next"))
+    while True:
+        met, steps = state.filter("next is null"), state.filter("next is not null")
+        if steps.isEmpty():
+            break
+        further = met.alias("a").join(steps.alias("b").hint("merge"), [*on, F.col("a.pos") == F.col("b.pos")]).select("b.doc", "b.h", F.col("b.next").alias("pos"), F.lit(None).cast("int").alias("next"))
+        squared = steps.alias("a").join(steps.alias("b").hint("merge"), [*on, F.col("a.next") == F.col("b.pos")]).select("a.doc", "a.h", "a.pos", "b.next")
+        before, state = state, materialize(met.unionByName(further).unionByName(squared), "met")
+        discard(before)
+    return table.alias("a").join(met.alias("b").hint("merge"), [*on, F.col("a.pos") == F.col("b.pos")], "left_semi")
 
 
 def split_texts(docs: DataFrame, doc_id: str, text: str, most: int = 2048, overlap: int = 128, vocabulary: str | None = None) -> DataFrame:
@@ -164,17 +163,36 @@ def split_texts(docs: DataFrame, doc_id: str, text: str, most: int = 2048, overl
     columns are ignored.
     """
     cuts = greedy_cuts(successor_table(docs, doc_id, text, most, overlap, vocabulary))
-    cuts = cuts.withColumn("piece_no", F.row_number().over(Window.partitionBy("doc", "h").orderBy("pos")) - 1)
+    fields = ["pos", "start", "next", "start_char", "next_char", "last", "kind"]
+    of_text = cuts.groupBy("doc", "h").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("cuts"))
     rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text"), F.xxhash64(text).alias("dh"))
-    # Texts of at most ``most`` bytes can't be cut; they pass by the join.
+    # Texts of at most ``most`` bytes can't be cut; they pass by the join, as those that turn out to be short enough pass by the slicing.
     may_be_cut = F.coalesce(F.octet_length("text") > most, F.lit(False))
-    both = rows.filter(may_be_cut).join(cuts, F.col("d").eqNullSafe(F.col("doc")) & (F.col("dh") == F.col("h")), "left")
-    both = both.unionByName(rows.filter(~may_be_cut), allowMissingColumns=True)
-    piece = F.when(F.col("h").isNull(), F.col("text")).otherwise(F.substring("text", F.col("start_char") + 1, F.col("next_char") - F.col("start_char")))
+    both = rows.filter(may_be_cut).join(of_text, F.col("d").eqNullSafe(F.col("doc")) & (F.col("dh") == F.col("h")), "left").select("d", "text", "cuts")
+    pieces = _sliced(both.filter("cuts is not null"))
+    whole = both.filter("cuts is null").select("d", "text").unionByName(rows.filter(~may_be_cut).select("d", "text"))
+    none = F.lit(None)
+    whole = whole.select("d", F.lit(0).alias("piece_no"), F.lit(0).alias("start"), none.cast("int").alias("next"), none.cast("boolean").alias("last"), none.cast("int").alias("kind"), "text")
     boundary = F.when(~F.col("last"), F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)).when(F.col("last"), F.lit("end"))
-    return both.select(
-        F.col("d").alias(doc_id), F.coalesce("piece_no", F.lit(0)).alias("piece_no"), F.coalesce("start", F.lit(0)).alias("start_token"), F.col("next").alias("end_token"), boundary.alias("boundary"), piece.alias("text")
-    )
+    return pieces.unionByName(whole).select(F.col("d").alias(doc_id), "piece_no", F.col("start").alias("start_token"), F.col("next").alias("end_token"), boundary.alias("boundary"), "text")
+
+
+def _sliced(rows: DataFrame) -> DataFrame:
+    """The pieces of texts with their sorted cuts, in one pass over each text."""
+    doc_type = rows.schema["d"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (value, cuts) in enumerate(zip(b.column("text"), b.column("cuts"))):
+                one, at = value.as_py(), cuts.values
+                m = len(at)
+                where = zip(at.field("start_char").to_pylist(), at.field("next_char").to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("d").take(pa.array([i] * m)), pa.array(range(m), pa.int32()), *[at.field(c) for c in ("start", "next", "last", "kind")], pa.array([one[s:e] for s, e in where], pa.string())],
+                    ["d", "piece_no", "start", "next", "last", "kind", "text"],
+                )
+
+    return rows.mapInArrow(cut, f"d {doc_type}, piece_no int, start int, next int, last boolean, kind int, text string")
 
 
 def oversized(docs: DataFrame, doc_id: str, text: str, most: int = 2048, overlap: int = 128, vocabulary: str | None = None) -> DataFrame:

@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.session import materialize
@@ -27,9 +27,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _WIDE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+""")
 _ASCII = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+""")
 
-#: Text per dictionary chunk, in characters, and distinct words at which a chunk ends early.
-CHUNK_CHARS = 16_000_000
-CHUNK_WORDS = 400_000
+#: Text per dictionary chunk, in characters, and distinct words at which a chunk ends early: as many as two bytes can number.
+CHUNK_CHARS = 4_000_000
+CHUNK_WORDS = 1 << 16
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -41,6 +41,17 @@ def vocabulary_path(folder: str = TOKENIZERS, name: str = VOCABULARY) -> str:
     return os.path.join(folder, name)
 
 
+def ship_vocabulary(spark: SparkSession, path: str) -> str:
+    """Send a vocabulary file to the executors with the job; returns the name by which tasks ask for it."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def shipped_encoder(name: str) -> tiktoken.Encoding:
+    """In a task: the encoder of a vocabulary sent by :func:`ship_vocabulary`."""
+    return encoder(SparkFiles.get(name))
+
+
 @lru_cache(4)
 def encoder(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
@@ -63,14 +74,16 @@ def _lists(values: np.ndarray, lengths: list[int], kind: pa.DataType) -> pa.Arra
 
 
 def explode_pre_tokens(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Pre-tokens with positions, word by number: (chunk, doc, codes, words).
+    """Pre-tokens with positions, word by number: (chunk, doc, codes, wide, words).
 
-    A document row has the numbers of its pre-tokens in order of position; one row
-    per chunk has the chunk's distinct words in order of number. So a word is sent
-    on once per chunk, however often it occurs.
+    A document row has the numbers of its pre-tokens in order of position, two bytes each,
+    or four (``wide``) where a single document goes beyond them; one row per chunk has
+    the chunk's distinct words in order of number. So a word is sent on once per
+    chunk, however often it occurs.
     """
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     doc_type = rows.schema["doc"].dataType.simpleString()
+    names = ["chunk", "doc", "codes", "wide", "words"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -79,40 +92,37 @@ def explode_pre_tokens(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         def dictionary() -> pa.RecordBatch:
             words = pa.array(known, pa.string())
             return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + seq], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)],
-                ["chunk", "doc", "codes", "words"],
+                [pa.array([(part << 32) + seq], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.nulls(1, pa.bool_()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], names
             )
 
         kind = pa.int64()
         for b in batches:
             kind = b.column(0).type
-            ids, codes, lengths = b.column(0), [], []
+            ids, codes, wide = b.column(0), [], []
             start = 0
 
             def documents(stop: int) -> pa.RecordBatch:
                 m = stop - start
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, (part << 32) + seq), pa.int64()), ids.slice(start, m), _lists(np.concatenate([*codes, np.zeros(0, np.int32)]), lengths, pa.int32()), pa.nulls(m, pa.list_(pa.string()))],
-                    ["chunk", "doc", "codes", "words"],
-                )
+                return pa.RecordBatch.from_arrays([pa.array(np.full(m, (part << 32) + seq), pa.int64()), ids.slice(start, m), pa.array(codes, pa.binary()), pa.array(wide, pa.bool_()), pa.nulls(m, pa.list_(pa.string()))], names)
 
             for i, value in enumerate(b.column(1)):
                 text_here = value.as_py() or ""
                 words = pre_tokens(text_here)
-                codes.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-                lengths.append(len(words))
+                numbers = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+                wide.append(len(known) > CHUNK_WORDS)
+                codes.append((numbers if wide[-1] else numbers.astype(np.uint16)).tobytes())
                 chars += len(text_here)
                 if chars >= CHUNK_CHARS or len(known) >= CHUNK_WORDS:
                     yield documents(i + 1)
                     yield dictionary()
                     seq, chars, known = seq + 1, 0, _Codes()
-                    start, codes, lengths = i + 1, [], []
+                    start, codes, wide = i + 1, [], []
             if start < b.num_rows:
                 yield documents(b.num_rows)
         if chars or known:
             yield dictionary()
 
-    return rows.mapInArrow(cut, f"chunk long, doc {doc_type}, codes array<int>, words array<string>")
+    return rows.mapInArrow(cut, f"chunk long, doc {doc_type}, codes binary, wide boolean, words array<string>")
 
 
 def encode_corpus(docs: DataFrame, doc_id: str, text: str, vocabulary: str | None = None) -> DataFrame:
@@ -127,12 +137,12 @@ def encode_corpus(docs: DataFrame, doc_id: str, text: str, vocabulary: str | Non
     doc_id keeps its row; every row of ``docs`` gives one row; an empty table gives
     none; further columns are ignored.
     """
-    path = vocabulary or vocabulary_path()
+    shipped = ship_vocabulary(docs.sparkSession, vocabulary or vocabulary_path())
     cut = materialize(explode_pre_tokens(docs, doc_id, text), "pretokens")
     entries = cut.filter("words is not null").select("chunk", F.posexplode("words").alias("code", "word"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = shipped_encoder(shipped)
         for b in batches:
             ids = [bpe.encode_ordinary(w) for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(np.array([i for x in ids for i in x], np.int32), [len(x) for x in ids], pa.int32())], ["word", "ids"])
@@ -145,35 +155,37 @@ def encode_corpus(docs: DataFrame, doc_id: str, text: str, vocabulary: str | Non
         lists = right.sort_by("code")["ids"].combine_chunks() if right.num_rows else pa.array([], pa.list_(pa.int32()))
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         first, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-        docs_out, ids_out = [], []
-        for b in left.to_batches():
-            codes = b.column("codes")
-            begin = codes.offsets.to_numpy()
-            flat = codes.values.to_numpy(zero_copy_only=False)[begin[0] : begin[-1]]
-            size = np.diff(first)[flat]
+        out = []
+        for codes, wide in zip(left["codes"], left["wide"].to_pylist()):
+            numbers = np.frombuffer(codes.as_buffer(), np.uint32 if wide else np.uint16)
+            size = np.diff(first)[numbers]
             ends = np.append(0, np.cumsum(size))
-            at = np.arange(ends[-1]) + np.repeat(first[:-1][flat] - ends[:-1], size)
-            docs_out.append(b.column("doc"))
-            ids_out.append(pa.ListArray.from_arrays(pa.array(ends[begin - begin[0]], pa.int32()), pa.array(values[at], pa.int32())))
-        return pa.table({"doc": pa.chunked_array(docs_out, left.schema.field("doc").type), "ids": pa.chunked_array(ids_out, pa.list_(pa.int32()))})
+            out.append(values[np.arange(ends[-1]) + np.repeat(first[:-1][numbers] - ends[:-1], size)])
+        ids = _lists(np.concatenate([*out, np.zeros(0, np.int32)]), [len(x) for x in out], pa.int32())
+        return pa.table({"doc": left["doc"], "ids": ids})
 
-    documents = cut.filter("codes is not null").select("chunk", "doc", "codes")
+    documents = cut.filter("codes is not null").select("chunk", "doc", "codes", "wide")
     out = documents.groupBy("chunk").cogroup(looked_up.groupBy("of")).applyInArrow(assemble, f"doc {doc_type}, ids array<int>")
     return out.select(F.col("doc").alias(doc_id), "ids")
 
 
+def token_table(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
+    """(id, bytes) of every token: as many rows as the vocabulary has, read by the driver and sent with the plan."""
+    with open(vocabulary or vocabulary_path(), "rb") as f:
+        rows = [line.split() for line in f if line.strip()]
+    return spark.createDataFrame(pa.table({"id": pa.array([int(n) for _, n in rows], pa.int32()), "bytes": pa.array([base64.b64decode(t) for t, _ in rows], pa.binary())}))
+
+
 def decode_corpus(encoded: DataFrame, doc_id: str, ids: str, vocabulary: str | None = None) -> DataFrame:
     """Texts of token ids, by a join with the table of token bytes: (doc_id, text).
 
-    The token table has as many rows as the vocabulary (50,256), so it may be
-    broadcast. doc_id has to be unique. An empty list gives an empty text, a null list null.
+    Lists of ids are spread by document once; its tokens then keep to their task. The
+    token table has as many rows as the vocabulary (50,256), so it may be broadcast.
+    doc_id has to be unique. An empty list gives an empty text, a null list null.
     """
-    spark = encoded.sparkSession
-    path = vocabulary or vocabulary_path()
-    ranks = spark.read.text(f"file://{path}").select(F.split("value", " ").alias("p"))
-    bytes_of = ranks.select(F.col("p")[1].cast("int").alias("id"), F.unbase64(F.col("p")[0]).alias("bytes"))
-    at = encoded.select(F.col(doc_id).alias("doc"), F.posexplode(ids).alias("pos", "id"))
-    texts = at.join(F.broadcast(bytes_of), "id").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "bytes"))).alias("got"))
-    joined = texts.select("doc", F.expr("decode(unhex(array_join(transform(got, x -> hex(x.bytes)), '')), 'utf-8')").alias("text"))
-    back = encoded.select(F.col(doc_id).alias("doc"), F.col(ids).alias("ids")).join(joined, "doc", "left")
-    return back.select(F.col("doc").alias(doc_id), F.when(F.size("ids") == 0, F.lit("")).otherwise(F.col("text")).alias("text"))
+    rows = encoded.select(F.col(doc_id).alias("doc"), F.col(ids).alias("ids")).repartition("doc")
+    at = rows.select("doc", F.col("ids").isNull().alias("none"), F.posexplode_outer("ids").alias("pos", "id"))
+    joined = at.join(F.broadcast(token_table(encoded.sparkSession, vocabulary)), "id", "left")
+    texts = joined.groupBy("doc", "none").agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "bytes")))).alias("got"))
+    text = F.expr("decode(unhex(array_join(transform(got, x -> hex(x.bytes)), '')), 'utf-8')")
+    return texts.select(F.col("doc").alias(doc_id), F.when(~F.col("none"), text).alias("text"))

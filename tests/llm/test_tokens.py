@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -41,3 +42,18 @@ def test_pre_tokens_agree_with_the_library_over_unicode(step):
             ch = chr(cp)
             text = f"a{ch}b  {ch} 1{ch}\n{ch} {ch}"
             assert [i for w in tokens.pre_tokens(text) for i in bpe.encode_ordinary(w)] == bpe.encode_ordinary(text)
+
+
+def test_more_distinct_words_than_two_bytes_can_number(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(w) for w in itertools.islice(itertools.product(letters, repeat=4), 70_000)]
+    texts = ["before " * 3, " ".join(words), " ".join(reversed(words[:300])) + " after"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["ids"] for r in tokens.encode_corpus(df, "doc_id", "text").collect()}
+    bpe = tokens.encoder(tokens.vocabulary_path())
+    assert got == {i: bpe.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_decoding_null_and_empty_lists(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [64, 275]), (None, [64])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in tokens.decode_corpus(df, "doc_id", "ids").collect()} == {1: None, 2: "", 3: "a b", None: "a"}
