@@ -15,6 +15,8 @@ from strandloom.session import discard, materialize
 
 #: Kinds of boundary, the best last; a token boundary is always possible.
 KINDS = ("token", "word", "sentence", "line", "paragraph", "section")
+#: Tokens of a character besides its first; it has four bytes at most.
+INNER_TOKENS = 3
 _TOKEN, _WORD, _SENTENCE, _LINE, _PARAGRAPH, _SECTION = range(6)
 
 # What opens a section, ends a sentence and may follow its end.
@@ -54,7 +56,9 @@ def _successors(text: str, sizes: np.ndarray, most: int, overlap: int) -> dict[s
     A boundary ``pos`` (in tokens) ends a piece; the next piece begins at ``start``,
     ``overlap`` tokens earlier or at the first character after that, and ends at
     ``next``: of the best kind of boundary that lies in reach, the farthest one.
-    Of a stretch without any break, longer than a piece gets on, every token is a boundary.
+    In a stretch without any break every token is a boundary where a cut can lie: a piece
+    gets on by ``most - overlap`` tokens, give or take the inner tokens of a character at
+    both of its ends, so the k-th cut is within k times as many of its even place.
     Only boundaries that are a successor of another stay, and 0, the beginning.
     """
     n = len(sizes)
@@ -86,7 +90,12 @@ def _successors(text: str, sizes: np.ndarray, most: int, overlap: int) -> dict[s
 
     natural = np.unique(np.concatenate([[0, n], *places[1:]]))
     wide = np.flatnonzero(np.diff(natural) > most - overlap)
-    bare = [starts[(starts > natural[i]) & (starts < natural[i + 1])] for i in wide]
+    bare = []
+    for a, b in zip(natural[wide], natural[wide + 1]):
+        inside = starts[(starts > a) & (starts < b)]
+        gone = inside - a - (overlap if a == 0 else 0)  # the first piece has no overlap
+        cuts = np.maximum(np.rint(gone / (most - overlap)), 1)
+        bare.append(inside[np.abs(gone - cuts * (most - overlap)) <= INNER_TOKENS * cuts])
     reached = np.unique(follow(np.concatenate([natural[:-1], *bare]))[1])
     pos = np.append(0, reached[reached < n])
     start, to = follow(pos)

@@ -78,3 +78,10 @@ def test_null_and_repeated_rows_and_empty_table(spark):
     got = run(spark, [(None, t, ""), (1, None, ""), (2, t, ""), (2, t, "")], 60, 8)
     assert got[1] == [(0, None, None)] and len(got[2]) == 2 * len(got[None])
     assert run(spark, [], 60, 8) == {}
+
+
+def test_long_stretches_without_a_break_have_every_cut_in_their_table():
+    for text, most, overlap in [("👩‍👩‍👧" * 4000, 600, 64), ("字" * 9000 + " x " + "z" * 30_000, 2048, 128), ("a" + "é😀" * 8000, 300, 5)]:
+        cuts = greedy(text, most, overlap)
+        assert len(cuts) > 5 and all(n - s <= most for s, n, _ in cuts)
+        assert all(overlap - 3 <= n - s <= overlap for (_, n, _), (s, _, _) in zip(cuts, cuts[1:]))
