@@ -22,6 +22,12 @@ def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.uniform_sample(table(spark, sf_dir, "alndata"), "qname", "batch_no", SAMPLE_READS, seed=42)
 
 
+def p2_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sample is merged from: each batch's population of reads and the size of its reservoir."""
+    held = sampling.piece_reservoirs(table(spark, sf_dir, "alndata"), "qname", "batch_no", SAMPLE_READS, seed=42)
+    return held.groupBy("piece").agg(F.first("population").alias("population"), F.countDistinct("item").alias("held"))
+
+
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda e: F.date_format(e, "yyyy-MM-dd")
     unions = {"day": day(F.col("run_day")), "week": day(F.date_trunc("week", "run_day")), "all": F.lit("all")}
@@ -56,7 +62,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_sample, p5_percentiles, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p2_sample, p2_sample_pieces, p5_percentiles, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_pieces)}
 
 
 _P5 = """
@@ -77,6 +83,10 @@ def oracle_sql() -> dict[str, str]:
 WITH e AS (SELECT DISTINCT qname, aln_id, aligned_bases, flag FROM alndata WHERE qname IS NOT NULL AND aligned_bases > 0)
 SELECT qname, aln_id FROM e
 QUALIFY row_number() OVER (PARTITION BY qname ORDER BY aligned_bases DESC, CASE WHEN (flag & 2304) = 0 THEN 0 ELSE 1 END, aln_id) <= 3
+""",
+        "p2_sample_pieces": f"""
+WITH f AS (SELECT qname, min(coalesce(batch_no, -1)) AS piece FROM alndata WHERE qname IS NOT NULL GROUP BY qname)
+SELECT piece, count(*) AS population, least(count(*), {SAMPLE_READS}) AS held FROM f GROUP BY piece
 """,
         "p5_percentiles": _P5,
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

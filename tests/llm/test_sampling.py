@@ -47,3 +47,26 @@ def test_merged_sample_is_uniform_over_unequal_pieces(spark):
     small = sum(r["item"].startswith("0-") for r in merged)
     assert abs(small - 600 * 6 * 3 / 60) < 60  # mean 180, standard deviation about 13
     assert {r["population"] for r in merged} == {60}
+
+
+def test_pieces_keep_their_populations_through_many_parts(spark):
+    rows = [(f"r{i}", i % 3 if i % 50 else None, "x") for i in range(2000)] + [(f"r{i}", 9, "again") for i in range(2000)]
+    df = spark.createDataFrame(rows, "q string, batch int, item string")
+    got = sampling.piece_reservoirs(df, "q", "batch", 40, 1, parts=700).collect()
+    first = {p: {q for q, b, _ in rows[:2000] if b == p} | ({q for q, b, _ in rows[:2000] if b is None} if p == -1 else set()) for p in (-1, 0, 1, 2)}
+    for p, members in first.items():
+        here = [r for r in got if r["piece"] == p]
+        assert {r["population"] for r in here} == {len(members)} and len(here) == len({r["item"] for r in here}) == min(40, len(members)) and {r["item"] for r in here} <= members
+    assert {r["piece"] for r in got} == set(first)
+
+
+def test_parts_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "PART_ROWS", 10)
+    assert [sampling.parts_of(spark.range(n)) for n in (0, 1, 10, 11, 20, 21, 41, 1000)] == [1, 1, 1, 2, 2, 4, 8, 128]
+
+
+def test_a_task_sends_a_hot_key_once_a_buffer(monkeypatch):
+    monkeypatch.setattr(sampling, "BUFFER_ROWS", 8)
+    batch = lambda keys, piece: pa.RecordBatch.from_arrays([pa.array(keys), pa.array([piece] * len(keys), pa.int32())], ["item", "piece"])
+    got = [tuple(r.values()) for b in sampling._first_pieces(iter([batch(["hot"] * 6, 4), batch(["hot", "a"], 2), batch(["hot"], 1)])) for r in b.to_pylist()]
+    assert sorted(got) == [("a", 2), ("hot", 1), ("hot", 2)]
