@@ -27,9 +27,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _WIDE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+""")
 _ASCII = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+""")
 
-#: Text per dictionary chunk, in characters, and distinct words at which a chunk ends early: as many as two bytes can number.
+#: Text per dictionary chunk, in characters, and distinct words at which a chunk ends early.
 CHUNK_CHARS = 4_000_000
-CHUNK_WORDS = 1 << 16
+CHUNK_WORDS = 400_000
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -73,56 +73,92 @@ def _lists(values: np.ndarray, lengths: list[int], kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers of four bytes, compressed byte by byte: the upper ones are nearly always 0."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: pa.BinaryScalar, count: int) -> np.ndarray:
+    raw = pa.decompress(data.as_buffer(), 4 * count, codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def explode_pre_tokens(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Pre-tokens with positions, word by number: (chunk, doc, codes, wide, words).
+    """Pre-tokens with positions, word by number: (chunk, docs, sizes, codes, words).
 
-    A document row has the numbers of its pre-tokens in order of position, two bytes each,
-    or four (``wide``) where a single document goes beyond them; one row per chunk has
-    the chunk's distinct words in order of number. So a word is sent on once per
-    chunk, however often it occurs.
+    A row of documents has their ids, how many pre-tokens each of them has, and the
+    numbers of all of these in order of position; one row per chunk has the chunk's
+    distinct words in order of number. So a word is sent on once per chunk, however
+    often it occurs.
     """
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     doc_type = rows.schema["doc"].dataType.simpleString()
-    names = ["chunk", "doc", "codes", "wide", "words"]
+    names = ["chunk", "docs", "sizes", "codes", "words"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seq, chars, known = 0, 0, _Codes()
 
-        def dictionary() -> pa.RecordBatch:
-            words = pa.array(known, pa.string())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + seq], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.nulls(1, pa.bool_()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], names
-            )
+        def row(ids: pa.Array | None, sizes: list[int] | None, codes: bytes | None, words: list[str] | None) -> pa.RecordBatch:
+            held = pa.nulls(1, pa.list_(kind)) if ids is None else pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq], pa.int64()), held, pa.array([sizes], pa.list_(pa.int32())), pa.array([codes], pa.binary()), pa.array([words], pa.list_(pa.string()))], names)
 
         kind = pa.int64()
         for b in batches:
             kind = b.column(0).type
-            ids, codes, wide = b.column(0), [], []
-            start = 0
-
-            def documents(stop: int) -> pa.RecordBatch:
-                m = stop - start
-                return pa.RecordBatch.from_arrays([pa.array(np.full(m, (part << 32) + seq), pa.int64()), ids.slice(start, m), pa.array(codes, pa.binary()), pa.array(wide, pa.bool_()), pa.nulls(m, pa.list_(pa.string()))], names)
-
+            ids, codes, start = b.column(0), [], 0
             for i, value in enumerate(b.column(1)):
                 text_here = value.as_py() or ""
                 words = pre_tokens(text_here)
-                numbers = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
-                wide.append(len(known) > CHUNK_WORDS)
-                codes.append((numbers if wide[-1] else numbers.astype(np.uint16)).tobytes())
+                codes.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
                 chars += len(text_here)
-                if chars >= CHUNK_CHARS or len(known) >= CHUNK_WORDS:
-                    yield documents(i + 1)
-                    yield dictionary()
+                full = chars >= CHUNK_CHARS or len(known) >= CHUNK_WORDS
+                if full or i == b.num_rows - 1:
+                    yield row(ids.slice(start, i + 1 - start), [len(c) for c in codes], _packed(np.concatenate(codes)), None)
+                    start, codes = i + 1, []
+                if full:
+                    yield row(None, None, None, list(known))
                     seq, chars, known = seq + 1, 0, _Codes()
-                    start, codes, wide = i + 1, [], []
-            if start < b.num_rows:
-                yield documents(b.num_rows)
         if chars or known:
-            yield dictionary()
-
-    return rows.mapInArrow(cut, f"chunk long, doc {doc_type}, codes binary, wide boolean, words array<string>")
+            yield row(None, None, None, list(known))
+
+    return rows.mapInArrow(cut, f"chunk long, docs array<{doc_type}>, sizes array<int>, codes binary, words array<string>")
+
+
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words' ids (of, code, ids) put together by chunk before they are sent: (of, codes, sizes, ids), packed."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        chunk = b.column("of").to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        code, lists = b.column("code").to_numpy()[order], b.column("ids").take(pa.array(order))
+        begin = lists.offsets.to_numpy()
+        sizes, flat = np.diff(begin), lists.values.to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.append(True, np.diff(chunk[order]) != 0))
+        last = np.append(first[1:], len(order))
+        cells = [(chunk[order[i]], j - i, int(begin[j] - begin[i]), _packed(code[i:j]), _packed(sizes[i:j]), _packed(flat[begin[i] : begin[j]])) for i, j in zip(first, last)]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells), types)], ["of", "n_words", "n_ids", "codes", "sizes", "ids"])
+
+
+def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The ids of a chunk's documents, from their words' numbers and the words' ids."""
+    counts = right["n_words"].to_pylist()
+    cells = lambda c, sizes: np.concatenate([_unpacked(x, n) for x, n in zip(right[c], sizes)] + [np.zeros(0, np.uint32)])
+    code, size, values = cells("codes", counts), cells("sizes", counts).astype(np.int64), cells("ids", right["n_ids"].to_pylist()).astype(np.int32)
+    first, length = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+    first[code], length[code] = np.cumsum(size) - size, size
+    docs, lists = [], []
+    for held, sizes, codes in zip(left["docs"], left["sizes"], left["codes"]):
+        sizes = sizes.values.to_numpy()
+        numbers = _unpacked(codes, int(sizes.sum()))
+        ends = np.append(0, np.cumsum(length[numbers]))
+        ids = values[np.arange(ends[-1]) + np.repeat(first[numbers] - ends[:-1], length[numbers])]
+        docs.append(held.values)
+        lists.append(pa.ListArray.from_arrays(pa.array(ends[np.append(0, np.cumsum(sizes))], pa.int32()), pa.array(ids, pa.int32())))
+    kind = left.schema.field("docs").type.value_type
+    return pa.table({"doc": pa.chunked_array(docs, kind), "ids": pa.chunked_array(lists, pa.list_(pa.int32()))})
 
 
 def encode_corpus(docs: DataFrame, doc_id: str, text: str, vocabulary: str | None = None) -> DataFrame:
@@ -130,7 +166,7 @@ def encode_corpus(docs: DataFrame, doc_id: str, text: str, vocabulary: str | Non
 
     Pre-tokens are exploded with positions, every distinct word of the corpus is
     encoded once, its ids are joined back and the documents are put together by
-    position. Positions stay packed beside their document and words travel once per
+    position. Positions stay packed beside their documents and words travel once per
     chunk, so a word that makes up a tenth of the corpus is no hot key.
 
     Defined cases: an empty or null text gives an empty list; a null or repeated
@@ -138,6 +174,7 @@ def encode_corpus(docs: DataFrame, doc_id: str, text: str, vocabulary: str | Non
     none; further columns are ignored.
     """
     shipped = ship_vocabulary(docs.sparkSession, vocabulary or vocabulary_path())
+    doc_type = docs.schema[doc_id].dataType.simpleString()
     cut = materialize(explode_pre_tokens(docs, doc_id, text), "pretokens")
     entries = cut.filter("words is not null").select("chunk", F.posexplode("words").alias("code", "word"))
 
@@ -149,23 +186,9 @@ def encode_corpus(docs: DataFrame, doc_id: str, text: str, vocabulary: str | Non
 
     encoded = entries.select("word").distinct().mapInArrow(encode, "word string, ids array<int>")
     looked_up = entries.join(encoded, "word").select(F.col("chunk").alias("of"), "code", "ids")
-    doc_type = cut.schema["doc"].dataType.simpleString()
-
-    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        lists = right.sort_by("code")["ids"].combine_chunks() if right.num_rows else pa.array([], pa.list_(pa.int32()))
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        first, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-        out = []
-        for codes, wide in zip(left["codes"], left["wide"].to_pylist()):
-            numbers = np.frombuffer(codes.as_buffer(), np.uint32 if wide else np.uint16)
-            size = np.diff(first)[numbers]
-            ends = np.append(0, np.cumsum(size))
-            out.append(values[np.arange(ends[-1]) + np.repeat(first[:-1][numbers] - ends[:-1], size)])
-        ids = _lists(np.concatenate([*out, np.zeros(0, np.int32)]), [len(x) for x in out], pa.int32())
-        return pa.table({"doc": left["doc"], "ids": ids})
-
-    documents = cut.filter("codes is not null").select("chunk", "doc", "codes", "wide")
-    out = documents.groupBy("chunk").cogroup(looked_up.groupBy("of")).applyInArrow(assemble, f"doc {doc_type}, ids array<int>")
+    looked_up = looked_up.mapInArrow(_by_chunk, "of long, n_words int, n_ids int, codes binary, sizes binary, ids binary")
+    documents = cut.filter("codes is not null").select("chunk", "docs", "sizes", "codes")
+    out = documents.groupBy("chunk").cogroup(looked_up.groupBy("of")).applyInArrow(_assemble, f"doc {doc_type}, ids array<int>")
     return out.select(F.col("doc").alias(doc_id), "ids")
 
 
