@@ -6,6 +6,10 @@ tables don't hold.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,14 +42,19 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thirty aligned base pairs per order: (aln_id, pos, target, query)."""
-    x = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("aln_id"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("pos"))
-    x = x.withColumn("m", F.expr("aln_id * 7 + pos * pos * 3 + pos * (aln_id % 5) * 11"))
-    at = "cast(1 + m % 4 as int), 1"
-    return x.select(
-        "aln_id", "pos", F.expr(f"if(m % 29 = 0, '-', substr('ACGT', {at}))").alias("target"),
-        F.expr(f"case when m % 29 <> 0 and m % 31 = 0 then '-' when m % 17 = 0 then substr('CGTA', {at}) else substr('ACGT', {at}) end").alias("query"),
-    )
+    """Thirty aligned base pairs per order, as two strings: (aln_id, target, query)."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = [np.frombuffer(x, np.uint8) for x in (b"ACGT", b"CGTA")]
+        for b in batches:
+            ids, pos = b.column(0).to_numpy()[:, None], np.arange(30)
+            m = ids * 7 + pos * pos * 3 + pos * (ids % 5) * 11
+            target = np.where(m % 29 == 0, ord("-"), letters[0][m % 4])
+            query = np.where((m % 29 != 0) & (m % 31 == 0), ord("-"), np.where(m % 17 == 0, letters[1][m % 4], letters[0][m % 4]))
+            text = lambda x: pa.array(np.ascontiguousarray(x.astype(np.uint8)).view("S30").ravel()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), text(target), text(query)], ["aln_id", "target", "query"])
+
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("aln_id")).mapInArrow(spell, "aln_id long, target string, query string")
 
 
 EXONS = """v_exons AS (SELECT 'tx' || p_partkey AS tx, p_brand AS gene, 'chr' || (p_partkey % 5) AS chrom, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand, k AS exon_no,

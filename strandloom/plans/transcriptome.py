@@ -154,6 +154,11 @@ def context_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.context_errors(fixtures.pairs(spark, sf_dir))
 
 
+def context_errors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a base read between two others stands for."""
+    return errors.context_errors(fixtures.pairs(spark, sf_dir), "query")
+
+
 def least_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.least_context(errors.context_errors(fixtures.pairs(spark, sf_dir)))
 
@@ -173,7 +178,7 @@ def genepred_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     best_annotation, exon_read_features, read_feature_hist_exons, junction_distances, junvar_rollup, nr_isoforms, locus_reads, loci_counts, novel_loci_named, locus_coverage, locus_components, bias_bins, bias_box, bias_bins_trimmed, rarefaction_locus, locus_downsample, context_sample, novel_isoforms, novel_loci, error_matrix, error_stats, error_ratios,
-    context_errors, least_context, exon_merge_by_strand, bed12_export, genepred_roundtrip,
+    context_errors, context_errors_query, least_context, exon_merge_by_strand, bed12_export, genepred_roundtrip,
 )
 
 _BOTH = f"{fixtures.EXONS}, {fixtures.READ_EXONS}"
@@ -269,6 +274,7 @@ SELECT read_name, round(sum(depth * w) / any_value(n), 6) AS average_depth, roun
     "error_stats": f"WITH {_ERR} SELECT a AS ALIGNMENT_COUNT, b AS ALIGNMENT_BASES, mm + d + i AS ANY_ERROR, mm AS MISMATCHES, d AS ANY_DELETION, d - hd AS COMPLETE_DELETION, hd AS HOMOPOLYMER_DELETION, i AS ANY_INSERTION, i - hi AS COMPLETE_INSERTION, hi AS HOMOPOLYMER_INSERTION FROM er",
     "error_ratios": f"WITH {_ERR} SELECT round((mm + d + i) / b, 6) AS any_error, round(mm / b, 6) AS mismatches, round(d / b, 6) AS deletions, round(hd / d, 6) AS homopolymer_deletions, round(i / b, 6) AS insertions, round(hi / i, 6) AS homopolymer_insertions FROM er",
     "context_errors": f"WITH {_ERR} SELECT before, after, reference, query, n, round(n / sum(n) OVER (PARTITION BY before, after, reference), 6) AS rate FROM cx",
+    "context_errors_query": f"WITH {_ERR}, cq AS (SELECT qb AS before, qa AS after, query AS reference, target AS query, count(*) AS n FROM nb WHERE query <> '-' AND qb <> '-' AND qa <> '-' GROUP BY ALL) SELECT before, after, reference, query, n, round(n / sum(n) OVER (PARTITION BY before, after, reference), 6) AS rate FROM cq",
     "least_context": f"WITH {_ERR} SELECT count(*) AS contexts, CAST(min(n) AS BIGINT) AS least FROM (SELECT sum(n) AS n FROM cx GROUP BY before, after, reference)",
     "exon_merge_by_strand": f"WITH {fixtures.EXONS}, {sql.merged('m', 'v_exons', 'chrom, strand')} SELECT chrom, strand, s AS start_pos, e AS end_pos FROM m",
     "bed12_export": f"WITH {_BED} SELECT chrom, lo AS start_pos, hi AS end_pos, read_name AS name, CAST(1000 AS INTEGER) AS score, strand, lo AS thick_start, hi AS thick_end, '0,0,0' AS color, CAST(c AS INTEGER) AS block_count, sizes AS block_sizes, starts AS block_starts FROM bx JOIN bo USING (read_name)",
