@@ -5,9 +5,16 @@ Coordinates are 0-based and half-open throughout.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.session import ship_package
+from strandloom.sources import bam
+
 MIN_INTRON = 68
 
 
@@ -52,21 +59,52 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.select(head.alias("name"), F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s", "")).alias("sequence"))
 
 
+def read_fasta_tiles(spark: SparkSession, path: str, tile: int = 1 << 16) -> DataFrame:
+    """(chrom, tile, bases): sequences cut into tiles, so that what follows doesn't move a chromosome as one row."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, sequence in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                starts = range(0, len(sequence), tile)
+                for i in range(0, len(starts), 64):
+                    part = starts[i : i + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([x // tile for x in part], pa.int64()), pa.array([sequence[x : x + tile] for x in part])], ["chrom", "tile", "bases"])
+
+    return read_fasta(spark, path).mapInArrow(cut, "chrom string, tile long, bases string")
+
+
 def read_sam_header(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, chrom_length) of the @SQ lines."""
+    """(chrom, chrom_length) of the sequences of a SAM text or, by its suffix, of a BAM file."""
+    if path.endswith(".bam"):
+        with bam.open_file(path) as f:
+            return spark.createDataFrame(bam.read_header(f)[0], "chrom string, chrom_length long")
     rows = spark.read.text(path).filter(F.col("value").startswith("@SQ\t"))
     return rows.select(F.regexp_extract("value", "\tSN:([^\t]+)", 1).alias("chrom"), F.regexp_extract("value", "\tLN:([0-9]+)", 1).cast("long").alias("chrom_length"))
 
 
 def read_sam(spark: SparkSession, path: str, min_intron: int = MIN_INTRON) -> DataFrame:
-    """Alignments of a SAM text: (qname, flag, qlen, q_start, q_end, chrom, strand, exons, aligned_bases).
+    """Alignments of a SAM text; see :func:`alignments`. ``aln_id`` grows with the place in the file."""
+    f = F.col("f")
+    rows = _fields(spark, path, "@").select(F.monotonically_increasing_id().alias("aln_id"), f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("chrom"), (f[3].cast("long") - 1).alias("t"), f[5].alias("cigar"), f[9].alias("seq"))
+    return alignments(rows, min_intron)
+
 
-    Gaps (N or D) of at least ``min_intron`` split exons, shorter ones are smoothed over.
-    The query range is on the read as sequenced: clips count, and it is mirrored on the
-    reverse strand. Unaligned entries have null positions and 0 aligned bases.
+def read_bam(spark: SparkSession, path: str, min_intron: int = MIN_INTRON, split: int = bam.SPLIT_BYTES) -> DataFrame:
+    """Alignments of a BAM file; see :func:`alignments`. ``aln_id`` is the place in the file."""
+    ship_package(spark)
+    spark.dataSource.register(bam.BamSource)
+    return alignments(spark.read.format(bam.BamSource.name()).option("split", split).load(path), min_intron)
+
+
+def alignments(rows: DataFrame, min_intron: int = MIN_INTRON) -> DataFrame:
+    """The columns of an alignment table from the fields (aln_id, qname, flag, chrom, t, cigar, seq) of SAM or BAM.
+
+    Gives (aln_id, qname, flag, qlen, q_start, q_end, chrom, strand, t_start, t_end,
+    exons, aligned_bases, cigar, seq). Gaps (N or D) of at least ``min_intron`` split
+    exons, shorter ones are smoothed over. The query range is on the read as sequenced:
+    clips count, and it is mirrored on the reverse strand. Unaligned entries have null
+    positions and 0 aligned bases; their length is that of their sequence.
     """
-    f = F.col("f")
-    rows = _fields(spark, path, "@").select(f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("chrom"), (f[3].cast("long") - 1).alias("t"), f[5].alias("cigar"))
     ops = "transform(regexp_extract_all(cigar, '([0-9]+[MIDNSHP=X])', 1), x -> struct(cast(substr(x, 1, length(x) - 1) as bigint) as n, right(x, 1) as op))"
     rows = rows.withColumn("ops", F.expr(ops)).withColumn("aligned", (F.col("flag").bitwiseAND(4) == 0) & (F.col("cigar") != "*"))
     total = lambda kinds: F.expr(f"aggregate(filter(ops, x -> x.op in ({kinds})), 0L, (a, x) -> a + x.n)")
@@ -81,12 +119,65 @@ def read_sam(spark: SparkSession, path: str, min_intron: int = MIN_INTRON) -> Da
     span, qlen = total("'M', 'I', '=', 'X'"), total("'M', 'I', '=', 'X', 'S', 'H'")
     start = F.when(reverse, tail).otherwise(lead)
     on = lambda c: F.when(F.col("aligned"), c)
-    return rows.select(
-        "qname", "flag", on(qlen).alias("qlen"), on(start).alias("q_start"), on(start + span).alias("q_end"), on(F.col("chrom")).alias("chrom"), on(F.when(reverse, "-").otherwise("+")).alias("strand"),
-        on(F.expr(walk)).alias("exons"), F.when(F.col("aligned"), total("'M', '=', 'X'")).otherwise(0).alias("aligned_bases"),
+    known = F.when(F.col("seq") != "*", F.length("seq").cast("long"))
+    exons = rows.withColumn("exons", on(F.expr(walk)))
+    return exons.select(
+        "aln_id", "qname", "flag", F.when(F.col("aligned"), qlen).otherwise(known).alias("qlen"), on(start).alias("q_start"), on(start + span).alias("q_end"), on(F.col("chrom")).alias("chrom"), on(F.when(reverse, "-").otherwise("+")).alias("strand"),
+        F.expr("exons[0].start").alias("t_start"), F.expr("element_at(exons, -1).end").alias("t_end"), "exons", F.when(F.col("aligned"), total("'M', '=', 'X'")).otherwise(F.lit(0).cast("long")).alias("aligned_bases"), "cigar", "seq",
     )
 
 
+_OPERATION = re.compile(r"([0-9]+)([MIDNSHP=X])")
+
+
+def _spelled(cigar: str, seq: str, target: str, min_intron: int) -> tuple[str, str]:
+    """Both sides of an alignment base by base, from the bases of its exons; long gaps in the target are left out."""
+    t = q = 0
+    left, right = [], []
+    for n, op in _OPERATION.findall(cigar):
+        n = int(n)
+        if op in "M=X":
+            left.append(target[t : t + n])
+            right.append(seq[q : q + n])
+            t, q = t + n, q + n
+        elif op == "I":
+            left.append("-" * n)
+            right.append(seq[q : q + n])
+            q += n
+        elif op == "S":
+            q += n
+        elif op in "DN" and n < min_intron:
+            left.append(target[t : t + n])
+            right.append("-" * n)
+            t += n
+    return "".join(left), "".join(right)
+
+
+def aligned_bases(rows: DataFrame, genome: DataFrame, tile: int = 1 << 16, min_intron: int = MIN_INTRON) -> DataFrame:
+    """(aln_id, target, query): the aligned bases of alignments with a sequence, '-' for a gap, as the error profiles take them.
+
+    ``genome`` has tiles (chrom, tile, bases). Exons are cut at tiles, looked up there and put
+    together again by alignment, so a chromosome is never sent to an alignment as a whole.
+    Alignments on sequences that the genome lacks, or beyond their end, drop out.
+    """
+    held = rows.filter("exons is not null and seq is not null and seq <> '*'")
+    exons = held.select("aln_id", "chrom", F.explode("exons").alias("x")).select("aln_id", "chrom", "x.start", "x.end").filter("start < end")
+    parts = exons.withColumn("tile", F.explode(F.sequence(F.expr(f"start div {tile}"), F.expr(f"(end - 1) div {tile}"))))
+    first, last = F.greatest("start", F.col("tile") * tile), F.least("end", (F.col("tile") + 1) * tile)
+    cut = parts.select("aln_id", "chrom", "tile", first.alias("start"), last.alias("end"))
+    pieces = cut.join(genome, ["chrom", "tile"]).select("aln_id", "start", F.expr(f"substr(bases, int(start - tile * {tile}) + 1, int(end - start))").alias("bases"))
+    targets = pieces.groupBy("aln_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "bases"))), lambda x: x["bases"]), "").alias("target"))
+    size = F.aggregate("exons", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    both = held.select("aln_id", "cigar", "seq", size.alias("size")).join(targets, "aln_id").filter("length(target) = size").select("aln_id", "cigar", F.upper("seq").alias("seq"), "target")
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_spelled(c, s, t, min_intron) for c, s, t in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.string())], ["aln_id", "target", "query"])
+
+    return both.mapInArrow(spell, "aln_id long, target string, query string")
+
+
 def to_genepred(exons: DataFrame, tx: str) -> DataFrame:
     """Exon rows (gene, tx, chrom, strand, start, end) as genePred columns with comma lists."""
     sorted_exons = F.sort_array(F.collect_list(F.struct("start", "end"))).alias("x")
