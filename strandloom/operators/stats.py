@@ -89,6 +89,15 @@ def cell_rollup(cells: DataFrame) -> DataFrame:
     return cells.agg(*out)
 
 
+def cell_distribution(cells: DataFrame) -> DataFrame:
+    """(measure, value, n, rank): the numbers of each measure over all cells from the smallest up, as the plots take them.
+
+    Equal numbers are counted first; ``rank`` is the last place of the number and ``n`` how many cells have it.
+    """
+    freq = to_rows(cells.select("cell", "reads", "molecules", "molecules_aligned"), ["cell"], "measure", "value").groupBy("measure", "value").agg(F.count("*").alias("n"))
+    return freq.select("measure", "value", "n", F.sum("n").over(Window.partitionBy("measure").orderBy("value")).alias("rank"))
+
+
 def length_statistics(lengths: DataFrame, keys: list[str], column: str) -> DataFrame:
     """(keys, n, average, median, n50, stddev) of the positive values of a column.
 

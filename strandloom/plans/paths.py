@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.operators import paths, reads
 from strandloom.plans import inputs, sql
 from strandloom.session import table
+from strandloom.sources import formats
 
 
 def best_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,26 @@ def path_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_paths(spark, sf_dir).groupBy("read_type").agg(F.count("*").alias("n"), F.sum("total_bases").alias("bases"))
 
 
-QUERIES = (best_alignment, primary_entries, unaligned_reads, read_paths, path_members, path_type_counts)
+# The sets of alignments for a genome browser, with their colours.
+BED_COLORS = {"best": "255,0,0", "chimera": "0,0,255", "gapped": "255,165,0", "self-chimera": "0,128,0", "self-chimera-atypical": "128,0,128"}
+
+
+def bed12_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BED12 lines of the best alignments and of the members of paths by type, each set in its colour.
+
+    The entries of the alignment table have one block each.
+    """
+    entries = inputs.alignments(spark, sf_dir, "qname", "flag", "aligned_bases", "chrom", "strand", "t_start", "t_end")
+    members = read_paths(spark, sf_dir).filter(F.col("read_type").isin(*BED_COLORS)).select("read_type", F.explode("members").alias("aln_id"))
+    both = reads.best_alignment(entries).withColumn("read_type", F.lit("best")).unionByName(entries.join(members, "aln_id"))
+    rows = both.filter("t_start < t_end").select("read_type", F.col("qname").alias("gene"), F.col("qname").alias("tx"), "chrom", "strand", F.struct("t_start", "t_end").alias("x"))
+    text = lambda c: F.concat(F.col(f"x.{c}").cast("string"), F.lit(","))
+    lists = rows.select("*", F.col("x.t_start").alias("tx_start"), F.col("x.t_end").alias("tx_end"), F.col("x.t_start").alias("cds_start"), F.col("x.t_end").alias("cds_end"), F.lit(1).alias("exon_count"), text("t_start").alias("exon_starts"), text("t_end").alias("exon_ends"))
+    color = F.element_at(F.create_map(*[F.lit(v) for kv in BED_COLORS.items() for v in kv]), F.col("read_type"))
+    return formats.to_bed12(lists, color, ["read_type"])
+
+
+QUERIES = (best_alignment, primary_entries, unaligned_reads, read_paths, path_members, path_type_counts, bed12_sets)
 
 # Entries in order of their query end, each read's best sets of its first i entries as a list; all of a read's
 # entries lie within the largest query gap in the given tables, so that the SQL needs no limit on it.
@@ -65,6 +85,10 @@ ORACLES = {
     "read_paths": f"WITH {_PATHS} SELECT * FROM rp",
     "path_members": f"WITH {_PATHS}, mm AS (SELECT qname, read_type, unnest(members) AS aln_id, CAST(unnest(range(len(members))) AS INTEGER) AS place FROM rp) SELECT aln_id, mm.qname, read_type, place, chrom, t_start, t_end FROM mm JOIN aln USING (aln_id)",
     "path_type_counts": f"WITH {_PATHS} SELECT read_type, count(*) AS n, CAST(sum(total_bases) AS BIGINT) AS bases FROM rp GROUP BY read_type",
+    "bed12_sets": f"""WITH {_PATHS}, mm AS (SELECT read_type, unnest(members) AS aln_id FROM rp WHERE read_type NOT IN ('unaligned', 'original')), bs AS (SELECT 'best' AS read_type, aln_id, qname, chrom, strand, t_start, t_end FROM best UNION ALL
+SELECT read_type, aln_id, qname, chrom, strand, t_start, t_end FROM mm JOIN aln USING (aln_id))
+SELECT read_type, chrom, t_start AS start_pos, t_end AS end_pos, qname AS name, CAST(1000 AS INTEGER) AS score, strand, t_start AS thick_start, t_end AS thick_end, CASE read_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in BED_COLORS.items())} END AS color,
+ CAST(1 AS INTEGER) AS block_count, (t_end - t_start) || ',' AS block_sizes, '0,' AS block_starts FROM bs WHERE t_start < t_end""",
     "best_alignment": f"WITH {sql.ALN}, {sql.BEST} SELECT qname, aln_id, flag, aligned_bases FROM best",
     "primary_entries": f"WITH {sql.ALN} SELECT qname, count(*) AS n, count(*) FILTER (aligned_bases > 0) AS n_aligned, count(*) FILTER ((flag & 2304) = 0) AS n_primary FROM aln WHERE qname IS NOT NULL GROUP BY qname",
     "unaligned_reads": f"WITH {sql.ALN} SELECT qname, max(qlen) AS qlen FROM aln WHERE qname IS NOT NULL GROUP BY qname HAVING count(*) FILTER (aligned_bases > 0) = 0",

@@ -33,6 +33,10 @@ def cell_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.cell_rollup(stats.cell_summary(inputs.lengths(spark, sf_dir)))
 
 
+def cell_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.cell_distribution(stats.cell_summary(inputs.lengths(spark, sf_dir)))
+
+
 def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.lengths(spark, sf_dir)
     both = [stats.length_statistics(rows, [], c).withColumn("metric", F.lit(c)) for c in ("qlen", "total_bases")]
@@ -52,7 +56,7 @@ def read_length_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.lengths(spark, sf_dir).filter("qlen is not null").groupBy("run_no", "qlen").agg(F.count("*").alias("n"))
 
 
-QUERIES = (read_length_table, alignment_stats, read_type_hist, aligned_fraction_box, platform_summary, cell_summary, cell_rollup, length_stats, run_compare, name_feature_counts)
+QUERIES = (read_length_table, alignment_stats, read_type_hist, aligned_fraction_box, platform_summary, cell_summary, cell_rollup, cell_distribution, length_stats, run_compare, name_feature_counts)
 
 _L = "l AS (SELECT DISTINCT * EXCLUDE (load_ts) FROM lengths)"
 
@@ -95,6 +99,8 @@ ORACLES = {
 SELECT platform, subtype, count(*) AS reads, count(*) FILTER (al) AS aligned, count(*) FILTER (NOT al) AS unaligned FROM p GROUP BY ALL""",
     "cell_summary": f"WITH {_CELLS} SELECT * FROM c",
     "cell_rollup": f"WITH {_CELLS} SELECT count(*) AS cells, CAST(sum(molecules) AS BIGINT) AS molecule_count, CAST(sum(molecules_aligned) AS BIGINT) AS aligned_molecule_count, {_ROLL} FROM c",
+    "cell_distribution": f"""WITH {_CELLS}, d AS (SELECT measure, value, count(*) AS n FROM (UNPIVOT c ON reads, molecules, molecules_aligned INTO NAME measure VALUE value) GROUP BY ALL)
+SELECT measure, value, n, CAST(sum(n) OVER (PARTITION BY measure ORDER BY value) AS BIGINT) AS rank FROM d""",
     "length_stats": f"WITH {_L}, {_lens('a', 'qlen', '')}, {_lens('b', 'total_bases', '')} SELECT *, 'qlen' AS metric FROM a UNION ALL SELECT *, 'total_bases' FROM b",
     "run_compare": f"""WITH {_L}, {_stats('run_no, ')}, {_lens('a', 'qlen', 'run_no, ')}, {_lens('b', 'total_bases', 'run_no, ')}
 SELECT st.run_no, TOTAL_READS AS reads, a.average AS read_average, a.median AS read_median, a.n50 AS read_n50, a.stddev AS read_stddev, ALIGNED_READS AS aligned_reads, round(ALIGNED_READS / TOTAL_READS, 6) AS aligned_share,

@@ -187,13 +187,13 @@ def to_genepred(exons: DataFrame, tx: str) -> DataFrame:
     return t.select("gene", "tx", "chrom", "strand", first.alias("tx_start"), last.alias("tx_end"), first.alias("cds_start"), last.alias("cds_end"), F.size("x").alias("exon_count"), joined("start").alias("exon_starts"), joined("end").alias("exon_ends"))
 
 
-def to_bed12(transcripts: DataFrame, color: str = "0,0,0") -> DataFrame:
-    """genePred columns as BED12 columns; blocks are relative to the start."""
+def to_bed12(transcripts: DataFrame, color: Column | str = "0,0,0", keep: list[str] | None = None) -> DataFrame:
+    """genePred columns as BED12 columns, after the columns ``keep``; blocks are relative to the start."""
     starts, ends = _numbers(F.col("exon_starts")), _numbers(F.col("exon_ends"))
     joined = lambda c: F.concat(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit(","))
     return transcripts.select(
-        "chrom", F.col("tx_start").alias("start_pos"), F.col("tx_end").alias("end_pos"), F.col("tx").alias("name"), F.lit(1000).alias("score"), "strand", F.col("cds_start").alias("thick_start"), F.col("cds_end").alias("thick_end"),
-        F.lit(color).alias("color"), F.col("exon_count").alias("block_count"), joined(F.zip_with(starts, ends, lambda s, e: e - s)).alias("block_sizes"), joined(F.transform(starts, lambda s: s - F.col("tx_start"))).alias("block_starts"),
+        *(keep or []), "chrom", F.col("tx_start").alias("start_pos"), F.col("tx_end").alias("end_pos"), F.col("tx").alias("name"), F.lit(1000).alias("score"), "strand", F.col("cds_start").alias("thick_start"), F.col("cds_end").alias("thick_end"),
+        (F.lit(color) if isinstance(color, str) else color).alias("color"), F.col("exon_count").alias("block_count"), joined(F.zip_with(starts, ends, lambda s, e: e - s)).alias("block_sizes"), joined(F.transform(starts, lambda s: s - F.col("tx_start"))).alias("block_starts"),
     )
 
 

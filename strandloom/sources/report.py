@@ -11,10 +11,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.sources.formats import write_lines
+from strandloom.sources.formats import from_bed12, write_lines
 
 MANIFEST = "manifest"
-#: Rows of a table that the one-file summary holds at most; larger tables are only named in it.
+#: Rows of a table that a one-file summary can hold; of a larger one it has the number of rows and a link to the folder.
 INLINE_ROWS = 5000
 
 
@@ -39,9 +39,10 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
 
 
-def extract_lines(spark: SparkSession, path: str, name: str, out: str, compress: bool = False) -> None:
-    """One table as tab-separated lines."""
-    write_lines(read_table(spark, path, name), out, compress)
+def extract_lines(spark: SparkSession, path: str, name: str, out: str, compress: bool = False, genepred: bool = False) -> None:
+    """One table as tab-separated lines; with ``genepred``, a table of BED12 columns as genePred lines."""
+    df = read_table(spark, path, name)
+    write_lines(from_bed12(df) if genepred else df, out, compress)
 
 
 def write_partitioned(df: DataFrame, path: str, kind: str) -> None:
@@ -49,22 +50,38 @@ def write_partitioned(df: DataFrame, path: str, kind: str) -> None:
     df.write.mode("overwrite").partitionBy(kind).parquet(path)
 
 
-def write_summary(spark: SparkSession, path: str, out: str, links: bool = True) -> None:
-    """One XHTML file that shows the report's small tables and, with ``links``, holds each as gzipped lines in a data URI."""
+def _cell(value: object) -> str:
+    return "" if value is None else str(value)
+
+
+def _summary_of(df: DataFrame, path: str, name: str, links: bool) -> str:
+    """A table's part of the summary: all of its rows in order of its columns, or where they are."""
+    title, n = html.escape(name), df.count()
+    if n > INLINE_ROWS:
+        return f'<h3>{title}</h3><p>{n} rows: <a href="{html.escape(path)}/{title}">{title}</a></p>'
+    rows = df.orderBy(*[c for c, t in df.dtypes if not t.startswith("map")]).collect()
+    lines = ["\t".join(map(_cell, row)) for row in rows]
+    data = base64.b64encode(gzip.compress("\n".join(lines).encode(), mtime=0)).decode()
+    link = f'<a download="{title}.txt.gz" href="data:application/gzip;base64,{data}">{title}.txt.gz</a>' if links else ""
+    body = "".join("<tr>" + "".join(f"<td>{html.escape(_cell(v))}</td>" for v in row) + "</tr>" for row in rows)
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
+    return f"<h3>{title}</h3>{link}<table><tr>{head}</tr>{body}</table>"
+
+
+def write_summary(spark: SparkSession, path: str, out: str, links: bool = True, sections: dict[str, list[str]] | None = None) -> None:
+    """One XHTML file that shows the report's tables by section and, with ``links``, holds each as gzipped lines in a data URI.
+
+    A section is there if the report has one of its tables; tables of no section come last.
+    A table of more than INLINE_ROWS rows is named with its number of rows and a link to its
+    folder, as a file can't hold it; no rows are left out otherwise.
+    """
+    names = [r["name"] for r in list_tables(spark, path).collect()]
+    named = {t for tables in (sections or {}).values() for t in tables}
     parts = []
-    for r in list_tables(spark, path).collect():
-        df = read_table(spark, path, r["name"])
-        rows = df.limit(INLINE_ROWS + 1).collect()
-        title = html.escape(r["name"])
-        if len(rows) > INLINE_ROWS:
-            parts.append(f"<h2>{title}</h2><p>more than {INLINE_ROWS} rows; see the report's folder</p>")
-            continue
-        lines = ["\t".join("" if v is None else str(v) for v in row) for row in rows]
-        data = base64.b64encode(gzip.compress("\n".join(lines).encode(), mtime=0)).decode()
-        link = f'<a download="{title}.txt.gz" href="data:application/gzip;base64,{data}">{title}.txt.gz</a>' if links else ""
-        body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in row) + "</tr>" for row in rows[:50])
-        head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        parts.append(f"<h2>{title}</h2>{link}<table><tr>{head}</tr>{body}</table>")
+    for title, tables in {**(sections or {}), "Tables": [n for n in names if n not in named]}.items():
+        here = [t for t in tables if t in names]
+        if here:
+            parts.append(f"<h2>{html.escape(title)}</h2>" + "".join(_summary_of(read_table(spark, path, t), path, t, links) for t in here))
     text = f'<?xml version="1.0" encoding="UTF-8"?><html xmlns="http://www.w3.org/1999/xhtml"><head><title>Report</title></head><body>{"".join(parts)}</body></html>'
     tmp = f"{out}.tmp"
     with open(tmp, "w", encoding="utf-8") as f:

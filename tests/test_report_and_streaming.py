@@ -58,6 +58,29 @@ def test_analyze_and_compare(spark, sf, tmp_path):
     from strandloom.__main__ import analyze, compare
 
     out = str(tmp_path / "r")
-    analyze(spark, sf, out, ["alignment_stats", "top_genes"])
+    analyze(spark, sf, out, ["alignment_stats", "top_genes", "comparison"])
     (row,) = compare(spark, [out]).collect()
-    assert row["TOTAL_READS"] == row["ALIGNED_READS"] + row["UNALIGNED_READS"] > 0
+    stats = {r["stat"]: r["value"] for r in report.read_table(spark, out, "alignment_stats").collect()}
+    assert row["report"] == out and (row["reads"], row["aligned_reads"], row["bases"]) == (stats["TOTAL_READS"], stats["ALIGNED_READS"], stats["TOTAL_BASES"])
+    assert row["read_n50"] >= row["read_median"] > 0 and 0 < row["aligned_share"] < 1
+
+
+def test_summary_keeps_whole_tables_by_section(spark, tmp_path):
+    path = str(tmp_path / "run")
+    many = report.INLINE_ROWS
+    report.write_report({"whole": spark.range(many).repartition(3), "large": spark.range(many + 1), "other": spark.range(2)}, path)
+    report.write_summary(spark, path, str(tmp_path / "s.xhtml"), sections={"First": ["whole", "absent"], "None": ["absent"]})
+    text = open(tmp_path / "s.xhtml").read()
+    assert text.count("<tr>") == many + 1 + 3 and f"{many + 1} rows" in text
+    assert text.index("First") < text.index("Tables") and "None" not in text
+    lines = [r["line"] for r in report.summary_tables(spark, str(tmp_path / "s.xhtml")).filter("name = 'whole.txt.gz'").collect()]
+    assert lines == [str(i) for i in range(many)]
+
+
+def test_bed12_table_as_genepred_lines(spark, tmp_path):
+    from strandloom.sources import formats
+
+    t = spark.createDataFrame([("G", "T", "c", "+", 5, 40, 5, 40, 2, "5,30,", "10,40,")], "gene string, tx string, chrom string, strand string, tx_start long, tx_end long, cds_start long, cds_end long, exon_count int, exon_starts string, exon_ends string")
+    report.write_report({"bed": formats.to_bed12(t)}, str(tmp_path / "run"))
+    report.extract_lines(spark, str(tmp_path / "run"), "bed", str(tmp_path / "out"), genepred=True)
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["T\tT\tc\t+\t5\t40\t5\t40\t2\t5,30,\t10,40,"]

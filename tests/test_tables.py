@@ -99,3 +99,19 @@ def test_profiles_of_empty_and_odd_strings(spark):
     assert (row["ALIGNMENT_COUNT"], row["ALIGNMENT_BASES"], row["MISMATCHES"], row["HOMOPOLYMER_INSERTION"]) == (1, 5, 1, 1)
     assert errors.error_stats(df.limit(0)).first()["ALIGNMENT_BASES"] == 0
     assert [tuple(r) for r in errors.contexts_per_alignment(df).collect()] == []
+
+
+def test_reports_from_a_file_and_their_comparison(spark, tmp_path):
+    from strandloom.__main__ import analyze, compare
+    from strandloom.sources import report
+
+    (tmp_path / "a.sam").write_text("\n".join(sam()) + "\n")
+    (tmp_path / "g.fa").write_text("".join(f">{n}\n{s}\n" for n, s in GENOME.items()))
+    plain, full = str(tmp_path / "plain"), str(tmp_path / "full")
+    analyze(spark, str(tmp_path / "a.sam"), plain, ["alignment_stats", "depth_hist_chrom", "bed12_sets", "comparison"])
+    analyze(spark, str(tmp_path / "a.sam"), full, ["comparison", "error_counts"], genome=str(tmp_path / "g.fa"))
+    assert {r["name"] for r in report.list_tables(spark, plain).collect()} == {"alignment_stats", "depth_hist_chrom", "bed12_sets", "comparison"}
+    rows = {r["report"]: r for r in compare(spark, [plain, full]).collect()}
+    assert rows[plain]["reads"] == rows[full]["reads"] == 7 and rows[plain]["any_error"] is None
+    assert rows[full]["mismatches"] == round(1 / 802, 6)
+    assert {(r["read_type"], r["color"]) for r in report.read_table(spark, plain, "bed12_sets").collect()} == {("best", "255,0,0"), ("chimera", "0,0,255")}
