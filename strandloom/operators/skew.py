@@ -24,17 +24,19 @@ def key_totals(df: DataFrame, keys: dict[str, Column], member: Column, identity:
     distinct members, ``n_full`` the rows where ``full`` holds, ``amount_mode`` the
     commonest amount (the smallest of several).
 
-    Three groupings, each with partial sums before its shuffle: by key and row, by key
-    and value, by key. Each of them sees a hot key from all tasks at once, and the last
-    one only as one row per task.
+    Rows that come again are dropped first, by row and not by key. Then two groupings, each
+    with partial sums before its shuffle: by key and value, by key. Each of them sees a
+    hot key from all tasks at once, and the last one only as one row per task.
 
     Defined cases: rows with a null member or without any key take no part; a null
     amount adds 0 and is no mode; an empty table gives no rows.
     """
-    entry = F.explode(F.array(*[F.struct(F.lit(f).alias("key_field"), k.alias("key_value")) for f, k in keys.items()]))
-    rows = df.select(*identity, member.alias("_member"), full.alias("_full"), amount.alias("_amount"), entry.alias("_key")).filter("_member is not null and _key.key_value is not null")
+    named = {f"_k{i}": k for i, k in enumerate(keys.values())}
+    rows = df.select(*identity, member.alias("_member"), full.alias("_full"), amount.alias("_amount"), *[k.alias(n) for n, k in named.items()]).filter("_member is not null")
+    entry = F.explode(F.array(*[F.struct(F.lit(f).alias("key_field"), F.col(n).alias("key_value")) for f, n in zip(keys, named)]))
     key = ["key_field", "key_value"]
-    once = compress(rows, [F.col("_key.key_field").alias("key_field"), F.col("_key.key_value").alias("key_value")], ["_member", "_full", "_amount", *identity])
+    distinct = compress(rows, [], ["_member", "_full", "_amount", *named, *identity])
+    once = distinct.select("_member", "_full", "_amount", entry.alias("_key")).select("_member", "_full", "_amount", "_key.*").filter("key_value is not null")
     by_member = once.groupBy(*key, "_member").agg(F.count("*").alias("n_rows"), F.sum(F.coalesce(F.col("_full"), F.lit(False)).cast("long")).alias("n_full"), F.sum(F.coalesce("_amount", F.lit(0))).alias("total"))
     totals = by_member.groupBy(*key).agg(F.count("*").alias("n_members"), F.sum("n_rows").alias("n_rows"), F.sum("n_full").alias("n_full"), F.sum("total").alias("amount_total"))
     by_value = once.groupBy(*key, "_amount").agg(F.count("*").alias("weight")).filter("_amount is not null")
