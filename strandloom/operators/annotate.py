@@ -21,6 +21,8 @@ def best_transcript(read_exons: DataFrame, exons: DataFrame, tile: int) -> DataF
     read_size = read_exons.groupBy("read_name").agg(F.count("*").alias("read_exons"), F.sum(F.col("end") - F.col("start")).alias("read_length"))
     right = exons.select("gene", "tx", "chrom", F.col("exon_no").alias("tx_exon"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     hits = intervals.overlap_join(read_exons.select("read_name", "chrom", "start", "end"), right, ["chrom"], tile)
+    # One shuffle by read serves all groupings below; a read's hits are bounded by its length.
+    hits = hits.select("read_name", "gene", "tx", "tx_exon", "start", "end", "r_start", "r_end").repartition("read_name")
     by_exon = hits.groupBy("read_name", "gene", "tx", "tx_exon").agg(F.sum(intervals.overlap_size()).alias("overlap"))
     # A run of neighbouring exons has one value of (exon number - rank).
     run = F.col("tx_exon") - F.row_number().over(Window.partitionBy("read_name", "gene", "tx").orderBy("tx_exon"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators import intervals
+from strandloom.session import materialize
 
 BINS = 100
 
@@ -15,7 +16,8 @@ def bias_bins(read_exons: DataFrame, exons: DataFrame, annotated: DataFrame, lea
 
     ``annotated``: (read_name, tx, matching_exon_count, read_length). A mean of depth is
     a sum over the pieces of reads, so pieces are spread over the bins they touch and
-    added up; equal pieces are counted first. Bins without a position (transcripts
+    added up; equal exons of a transcript's reads are counted before they meet its exons,
+    so a transcript of very many reads is joined by its distinct intervals only. Bins without a position (transcripts
     shorter than 100) are 0. ``covered_ends`` leaves the uncovered ends of a transcript
     out; without ``overflow``, reads that reach beyond their transcript take no part.
     """
@@ -24,16 +26,18 @@ def bias_bins(read_exons: DataFrame, exons: DataFrame, annotated: DataFrame, lea
         reads = read_exons.groupBy("read_name").agg(F.min("start").alias("s"), F.max("end").alias("e"))
         spans = exons.groupBy("tx").agg(F.min("start").alias("ts"), F.max("end").alias("te"))
         good = good.join(reads, "read_name").join(spans, "tx").filter("s >= ts and e <= te").select("read_name", "tx")
+    good = materialize(good, "annotated")
     counts = good.groupBy("tx").agg(F.count("*").alias("reads")).filter(F.col("reads") >= least_reads)
     w = Window.partitionBy("tx").orderBy("start")
     placed = exons.withColumn("offset", F.sum(F.col("end") - F.col("start")).over(w) - (F.col("end") - F.col("start"))).withColumn("length", F.sum(F.col("end") - F.col("start")).over(Window.partitionBy("tx")))
     parts = placed.select("tx", "strand", "offset", "length", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    pairs = read_exons.select("read_name", "start", "end").join(good, "read_name").join(counts, "tx").join(parts, "tx").filter("start < r_end and r_start < end")
+    spans = read_exons.select("read_name", "start", "end").join(good, "read_name").groupBy("tx", "start", "end").agg(F.count("*").alias("n"))
+    pairs = spans.join(counts, "tx").join(parts, "tx").filter("start < r_end and r_start < end")
     begin = F.col("offset") + F.greatest("start", "r_start") - F.col("r_start")
-    pieces = pairs.select("tx", "strand", "length", "reads", begin.alias("a"), (begin + intervals.overlap_size()).alias("b"))
+    pieces = pairs.select("tx", "strand", "length", "reads", "n", begin.alias("a"), (begin + intervals.overlap_size()).alias("b"))
     minus = F.col("strand") == "-"
-    pieces = pieces.select("tx", "length", "reads", F.when(minus, F.col("length") - F.col("b")).otherwise(F.col("a")).alias("a"), F.when(minus, F.col("length") - F.col("a")).otherwise(F.col("b")).alias("b"))
-    pieces = pieces.groupBy("tx", "length", "reads", "a", "b").agg(F.count("*").alias("n"))
+    pieces = pieces.select("tx", "length", "reads", "n", F.when(minus, F.col("length") - F.col("b")).otherwise(F.col("a")).alias("a"), F.when(minus, F.col("length") - F.col("a")).otherwise(F.col("b")).alias("b"))
+    pieces = pieces.groupBy("tx", "length", "reads", "a", "b").agg(F.sum("n").alias("n"))
     sizes = placed.select("tx", "length").distinct()
     if covered_ends:
         ends = pieces.groupBy("tx").agg(F.min("a").alias("lo"), F.max("b").alias("hi"))

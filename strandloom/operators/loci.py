@@ -12,12 +12,18 @@ from strandloom.session import discard, materialize
 def number_loci(loci: DataFrame) -> DataFrame:
     """Adds ``locus``, the place in the order of (chrom, start, end), from 1.
 
-    Loci are ranked within their chromosome; the chromosomes' counts give the offset.
+    Loci are ranked within the tile they begin in; the counts of the tiles before give
+    the offset, so no task ranks a whole chromosome.
     """
-    sizes = loci.groupBy("chrom").agg(F.count("*").alias("_n"))
-    before = sizes.select("chrom", (F.sum("_n").over(Window.orderBy("chrom")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("chrom").orderBy("start", "end"))
-    return loci.withColumn("_rank", rank).join(before, "chrom").withColumn("locus", F.col("_before") + F.col("_rank")).drop("_rank", "_before")
+    rows = loci.withColumn("_tile", F.expr(f"start div {intervals.TILE}"))
+    sizes = rows.groupBy("chrom", "_tile").agg(F.count("*").alias("_n"))
+    chroms = sizes.groupBy("chrom").agg(F.sum("_n").alias("_all"))
+    # A row per chromosome, then a row per tile of a chromosome: both are bounded by the genome, not by the reads.
+    ahead = chroms.select("chrom", (F.sum("_all").over(Window.orderBy("chrom")) - F.col("_all")).alias("_ahead"))
+    before = sizes.select("chrom", "_tile", (F.sum("_n").over(Window.partitionBy("chrom").orderBy("_tile")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("chrom", "_tile").orderBy("start", "end"))
+    numbered = rows.withColumn("_rank", rank).join(before, ["chrom", "_tile"]).join(ahead, "chrom")
+    return numbered.withColumn("locus", F.col("_ahead") + F.col("_before") + F.col("_rank")).drop("_tile", "_rank", "_before", "_ahead")
 
 
 def locus_reads(reads: DataFrame, tile: int = intervals.TILE) -> DataFrame:
