@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.session import materialize
+
 #: Rows kept in a task between two local rankings.
 BUFFER_ROWS = 400_000
 
@@ -77,7 +79,8 @@ def top_n(df: DataFrame, group: str, item: str, order: list[str], n: int) -> Dat
             yield from t.append_column("_nth", pa.array(rank == n - 1)).to_batches(max_chunksize=50_000)
 
     schema = T.StructType([T.StructField("_g", group_type), *[T.StructField(c, T.LongType()) for c in ("_i", *keys)], T.StructField("_nth", T.BooleanType())])
-    best = rows.mapInArrow(local, schema).withColumn("_key", F.struct(*keys, (-F.col("_i")).alias("_neg")))
+    # Written once: the bounds and the survivors are both taken from it.
+    best = materialize(rows.mapInArrow(local, schema), "best").withColumn("_key", F.struct(*keys, (-F.col("_i")).alias("_neg")))
     bounds = best.filter("_nth").groupBy("_g").agg(F.max("_key").alias("_bound"))
     survivors = best.join(bounds, "_g", "left").filter(F.col("_bound").isNull() | (F.col("_key") >= F.col("_bound")))
     once = survivors.groupBy("_g", "_i").agg(F.max("_key").alias("_key"))
