@@ -50,12 +50,14 @@ def _outermost(spans: DataFrame, keys: list[str], side: str, end_support: int) -
     return reached.filter(F.col("_before") < end_support).groupBy(*keys).agg(inner(side).alias(side))
 
 
-def nonredundant(read_exons: DataFrame, tolerance: int = 10, support: int = 2, end_support: int = 2) -> DataFrame:
-    """Isoforms of reads with one chain of junctions: (chrom, strand, chain, start, end, n_reads).
+ISOFORM = ["chrom", "strand", "chain"]
+
+
+def read_chains(read_exons: DataFrame, tolerance: int = 10) -> DataFrame:
+    """(read_name, chrom, strand, chain, start, end) of reads with several exons.
 
-    A side is snapped to the side with most reads within ``tolerance`` (the smaller
-    position on ties) first; chains of fewer than ``support`` reads drop out. An isoform
-    begins and ends at the outermost places that ``end_support`` of its reads reach.
+    A side is snapped to the side with most reads within ``tolerance``, the smaller
+    position on ties; the chain has a read's sides in order.
     """
     sides = junction_sides(read_exons, "read_name")
     counts = sides.groupBy("chrom", "side", "pos").agg(F.count("*").alias("n"))
@@ -66,8 +68,27 @@ def nonredundant(read_exons: DataFrame, tolerance: int = 10, support: int = 2, e
     snapped = near.groupBy("chrom", "side", "pos").agg(F.max_by("to", F.struct("m", -F.col("to"))).alias("to"))
     chains = sides.join(snapped, ["chrom", "side", "pos"]).groupBy("read_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("to", "side"))), lambda x: x["to"].cast("string")), ",").alias("chain"))
     spans = read_exons.groupBy("read_name", "chrom", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    keys = ["chrom", "strand", "chain"]
-    rows = spans.join(chains, "read_name").select(*keys, "start", "end")
-    kept = rows.groupBy(*keys).agg(F.count("*").alias("n_reads")).filter(F.col("n_reads") >= support)
-    found = kept.join(_outermost(rows, keys, "start", end_support), keys).join(_outermost(rows, keys, "end", end_support), keys)
-    return found.select(*keys, "start", "end", "n_reads")
+    return spans.join(chains, "read_name").select("read_name", *ISOFORM, "start", "end")
+
+
+def isoforms(rows: DataFrame, support: int = 2, end_support: int = 2) -> DataFrame:
+    """Isoforms of the rows of :func:`read_chains`: (chrom, strand, chain, start, end, n_reads).
+
+    Chains of fewer than ``support`` reads drop out. An isoform begins and ends at the
+    outermost places that ``end_support`` of its reads reach.
+    """
+    kept = rows.groupBy(*ISOFORM).agg(F.count("*").alias("n_reads")).filter(F.col("n_reads") >= support)
+    found = kept.join(_outermost(rows, ISOFORM, "start", end_support), ISOFORM).join(_outermost(rows, ISOFORM, "end", end_support), ISOFORM)
+    return found.select(*ISOFORM, "start", "end", "n_reads")
+
+
+def nonredundant(read_exons: DataFrame, tolerance: int = 10, support: int = 2, end_support: int = 2) -> DataFrame:
+    """Isoforms of reads with one chain of junctions, sides snapped first: :func:`isoforms` of :func:`read_chains`."""
+    return isoforms(read_chains(read_exons, tolerance), support, end_support)
+
+
+def with_genes(found: DataFrame, rows: DataFrame, genes: DataFrame) -> DataFrame:
+    """Adds ``gene`` to isoforms: the gene of most of their reads, the first by name on ties; ``genes`` is (read_name, gene)."""
+    counts = rows.join(genes.filter("gene is not null"), "read_name").groupBy(*ISOFORM, "gene").agg(F.count("*").alias("_n"))
+    best = counts.groupBy(*ISOFORM).agg(F.min_by("gene", F.struct(-F.col("_n"), "gene")).alias("gene"))
+    return found.join(best, ISOFORM, "left")

@@ -182,14 +182,27 @@ QUERIES = (
 )
 
 _BOTH = f"{fixtures.EXONS}, {fixtures.READ_EXONS}"
-_BEST = f"""{_BOTH}, hit AS (SELECT r.read_name, x.gene, x.tx, x.exon_no, sum(least(r.e, x.e) - greatest(r.s, x.s)) AS ov FROM v_read_exons r JOIN v_exons x ON r.chrom = x.chrom AND r.s < x.e AND x.s < r.e GROUP BY ALL),
-run AS (SELECT read_name, gene, tx, count(*) AS n, sum(ov) AS ov FROM (SELECT *, exon_no - row_number() OVER (PARTITION BY read_name, tx ORDER BY exon_no) AS g FROM hit) GROUP BY read_name, gene, tx, g),
-pr AS (SELECT read_name, gene, tx, CAST(sum(n) AS BIGINT) AS matching_exon_count, max(n) AS consecutive_exons, CAST(sum(ov) AS BIGINT) AS overlap_bases FROM run GROUP BY ALL),
-ts AS (SELECT tx, count(*) AS tx_exons, CAST(sum(e - s) AS BIGINT) AS tx_length FROM v_exons GROUP BY tx), rs AS (SELECT read_name, count(*) AS read_exons, CAST(sum(e - s) AS BIGINT) AS read_length FROM v_read_exons GROUP BY read_name),
-ba AS (SELECT *, CASE WHEN consecutive_exons = tx_exons THEN 'full' ELSE 'partial' END AS match_type FROM pr JOIN ts USING (tx) JOIN rs USING (read_name)
+
+
+def _best(reads: str, exons: str, p: str = "") -> str:
+    """CTEs that end in ``p``ba: the best of the transcripts ``exons`` for each of the ``reads``."""
+    return f"""{p}hit AS (SELECT r.read_name, x.gene, x.tx, x.exon_no, sum(least(r.e, x.e) - greatest(r.s, x.s)) AS ov FROM {reads} r JOIN {exons} x ON r.chrom = x.chrom AND r.s < x.e AND x.s < r.e AND r.s < r.e AND x.s < x.e GROUP BY ALL),
+{p}run AS (SELECT read_name, gene, tx, count(*) AS n, sum(ov) AS ov FROM (SELECT *, exon_no - row_number() OVER (PARTITION BY read_name, tx ORDER BY exon_no) AS g FROM {p}hit) GROUP BY read_name, gene, tx, g),
+{p}pr AS (SELECT read_name, gene, tx, CAST(sum(n) AS BIGINT) AS matching_exon_count, max(n) AS consecutive_exons, CAST(sum(ov) AS BIGINT) AS overlap_bases FROM {p}run GROUP BY ALL),
+{p}ts AS (SELECT tx, count(*) AS tx_exons, CAST(sum(e - s) AS BIGINT) AS tx_length FROM {exons} GROUP BY tx), {p}rs AS (SELECT read_name, count(*) AS read_exons, CAST(sum(e - s) AS BIGINT) AS read_length FROM {reads} GROUP BY read_name),
+{p}ba AS (SELECT *, CASE WHEN consecutive_exons = tx_exons THEN 'full' ELSE 'partial' END AS match_type FROM {p}pr JOIN {p}ts USING (tx) JOIN {p}rs USING (read_name)
  QUALIFY row_number() OVER (PARTITION BY read_name ORDER BY match_type, matching_exon_count DESC, overlap_bases DESC, tx_length, tx) = 1)"""
 
 
+_BEST = f"{_BOTH}, {_best('v_read_exons', 'v_exons')}"
+
+
+def _classed(reads: str, exons: str, p: str) -> str:
+    """CTEs that end in ``p``cl: the class of each of the ``reads`` of two exons or more, and its gene."""
+    return f"""{_best(reads, exons, p)}, {p}cl AS (SELECT read_name, gene, CASE WHEN match_type = 'full' THEN 'full' WHEN consecutive_exons = read_exons THEN 'subset' ELSE 'novel-isoform' END AS class FROM {p}ba WHERE read_exons >= 2
+ UNION ALL SELECT read_name, NULL, 'novel-locus' FROM {p}rs WHERE read_exons >= 2 AND read_name NOT IN (SELECT read_name FROM {p}ba))"""
+
+
 def _sides(name: str, source: str, key: str) -> str:
     return f"""{name}0 AS (SELECT {key} AS id, chrom, s, e, min(s) OVER w AS lo, max(e) OVER w AS hi FROM {source} WINDOW w AS (PARTITION BY {key})), {name} AS (SELECT id, chrom, 'start' AS side, s AS pos FROM {name}0 WHERE s > lo UNION ALL SELECT id, chrom, 'end', e FROM {name}0 WHERE e < hi)"""
 
@@ -197,9 +210,30 @@ def _sides(name: str, source: str, key: str) -> str:
 _JUNC = f"""{_BOTH}, {_sides("rj", "v_read_exons", "read_name")}, {_sides("xj", "v_exons", "tx")}, site AS (SELECT DISTINCT chrom, side, pos AS site FROM xj),
 nr AS (SELECT chrom, side, pos, arg_min(site, abs(pos - site) * 1000000000 + site) AS site FROM (SELECT DISTINCT chrom, side, pos FROM rj) JOIN site USING (chrom, side) WHERE abs(pos - site) <= 30 GROUP BY ALL),
 jd AS (SELECT CASE WHEN side = 'start' THEN site - pos ELSE pos - site END AS distance, count(*) AS n FROM rj JOIN nr USING (chrom, side, pos) GROUP BY 1)"""
-_NR = f"""{fixtures.READ_EXONS}, {_sides("rj", "v_read_exons", "read_name")}, ct AS (SELECT chrom, side, pos, count(*) AS n FROM rj GROUP BY ALL),
-sn AS (SELECT a.chrom, a.side, a.pos, arg_max(b.pos, b.n * 1000000000 - b.pos) AS goal FROM ct a JOIN ct b ON a.chrom = b.chrom AND a.side = b.side AND abs(a.pos - b.pos) <= 10 GROUP BY ALL),
-ch AS (SELECT id AS read_name, string_agg(CAST(goal AS VARCHAR), ',' ORDER BY goal, side) AS chain FROM rj JOIN sn USING (chrom, side, pos) GROUP BY id), {fixtures.READS}"""
+
+
+def _isoforms(reads: str, p: str = "") -> str:
+    """CTEs that end in ``p``rc, the chains of the ``reads``, and ``p``nr, their isoforms."""
+    return f"""{_sides(p + "rj", reads, "read_name")}, {p}ct AS (SELECT chrom, side, pos, count(*) AS n FROM {p}rj GROUP BY ALL),
+{p}sn AS (SELECT a.chrom, a.side, a.pos, arg_max(b.pos, b.n * 1000000000 - b.pos) AS goal FROM {p}ct a JOIN {p}ct b ON a.chrom = b.chrom AND a.side = b.side AND abs(a.pos - b.pos) <= 10 GROUP BY ALL),
+{p}ch AS (SELECT id AS read_name, string_agg(CAST(goal AS VARCHAR), ',' ORDER BY goal, side) AS chain FROM {p}rj JOIN {p}sn USING (chrom, side, pos) GROUP BY id),
+{p}rc AS (SELECT read_name, chrom, strand, chain, s, e FROM (SELECT read_name, chrom, strand, min(s) AS s, max(e) AS e FROM {reads} GROUP BY ALL) JOIN {p}ch USING (read_name)),
+{p}nr AS (SELECT chrom, strand, chain, list_sort(list(s))[2] AS s, list_reverse_sort(list(e))[2] AS e, count(*) AS n_reads FROM {p}rc GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+def _with_genes(p: str, genes: str) -> str:
+    """CTEs that end in ``p``ng and ``p``nx: the isoforms with the gene of most of their reads, and their exons."""
+    return f"""{p}gc AS (SELECT chrom, strand, chain, gene, count(*) AS n FROM {p}rc JOIN {genes} USING (read_name) WHERE gene IS NOT NULL GROUP BY ALL),
+{p}ng AS (SELECT {p}nr.*, gene, concat_ws(':', chrom, strand, chain) AS tx FROM {p}nr LEFT JOIN (SELECT * FROM {p}gc QUALIFY row_number() OVER (PARTITION BY chrom, strand, chain ORDER BY n DESC, gene) = 1) USING (chrom, strand, chain)),
+{p}nb AS (SELECT *, list_concat([s], list_transform(string_split(chain, ','), lambda x: CAST(x AS BIGINT)), [e]) AS b FROM {p}ng),
+{p}nx AS (SELECT tx AS read_name, tx, gene, chrom, strand, i AS exon_no, b[2 * i + 1] AS s, b[2 * i + 2] AS e FROM (SELECT *, unnest(range(len(b) // 2)) AS i FROM {p}nb))"""
+
+
+_NR = f"{fixtures.READ_EXONS}, {_isoforms('v_read_exons')}"
+_NOVEL = f"""{_BOTH}, {_classed("v_read_exons", "v_exons", "a")}, ir AS (SELECT * FROM v_read_exons WHERE read_name IN (SELECT read_name FROM acl WHERE class = 'novel-isoform')), lr AS (SELECT * FROM v_read_exons WHERE read_name IN (SELECT read_name FROM acl WHERE class = 'novel-locus')),
+{_isoforms("ir", "d")}, {_with_genes("d", "acl")}, {_classed("lr", "dnx", "b")}, mr AS (SELECT * FROM ir UNION ALL SELECT * FROM lr WHERE read_name IN (SELECT read_name FROM bcl WHERE class = 'novel-isoform')),
+gn AS (SELECT read_name, gene FROM acl WHERE class = 'novel-isoform' UNION ALL SELECT read_name, gene FROM bcl WHERE class = 'novel-isoform'), {_isoforms("mr", "f")}, {_with_genes("f", "gn")}, {_classed("fnx", "v_exons", "k")},
+lo AS (SELECT read_name, chrom, min(s) AS s, max(e) AS e FROM lr WHERE read_name IN (SELECT read_name FROM bcl WHERE class = 'novel-locus') GROUP BY ALL)"""
 _VIEWS = f"{fixtures.READ_EXONS}, {fixtures.READS}"
 #: The reads that loci are made of: two exons, and depth enough over their span.
 _DEEP = f"""mr AS (SELECT * FROM v_reads WHERE exon_count >= 2), {sql.depth("seg", "mr")},
@@ -262,7 +296,9 @@ st AS (SELECT context, min(rank) FILTER (upto >= {CONTEXT_SEEN}) AS stop FROM cu
     "junction_distances": f"WITH {_JUNC} SELECT * FROM jd",
     "junvar_rollup": f"WITH {_JUNC} SELECT CAST(coalesce(sum(n) FILTER (distance < 0), 0) AS BIGINT) AS truncated, CAST(coalesce(sum(n) FILTER (distance = 0), 0) AS BIGINT) AS perfect, CAST(coalesce(sum(n) FILTER (distance > 0), 0) AS BIGINT) AS elongated FROM jd",
     "locus_components": f"WITH {_COMPONENTS} SELECT min(read_name) AS first_read, count(*) AS n_reads FROM cr GROUP BY component",
-    "nr_isoforms": f"WITH {_NR} SELECT chrom, strand, chain, list_sort(list(s))[2] AS start_pos, list_reverse_sort(list(e))[2] AS end_pos, count(*) AS n_reads FROM v_reads JOIN ch USING (read_name) GROUP BY ALL HAVING count(*) >= 2",
+    "nr_isoforms": f"WITH {_NR} SELECT chrom, strand, chain, s AS start_pos, e AS end_pos, n_reads FROM nr",
+    "novel_isoforms": f"WITH {_NOVEL} SELECT gene, chrom, strand, chain, s AS start_pos, e AS end_pos, n_reads FROM fng WHERE tx NOT IN (SELECT read_name FROM kcl WHERE class IN ('full', 'subset'))",
+    "novel_loci": f"WITH {_NOVEL}, {_loci('lo')} SELECT 'LOC' || locus || '|' || n_reads || '|' || chrom || ':' || locus_start || '-' || locus_end AS name, chrom, locus_start AS start_pos, locus_end AS end_pos, n_reads FROM lc",
     "locus_reads": f"WITH {_DEEP_LOCI} SELECT read_name, CAST(locus AS BIGINT) AS locus FROM li",
     "loci_counts": f"WITH {_DEEP_LOCI} SELECT * FROM lc",
     "novel_loci_named": f"WITH {_SPAN_LOCI} SELECT 'LOC' || locus || '|' || n_reads || '|' || chrom || ':' || locus_start || '-' || locus_end AS name FROM lc",

@@ -27,6 +27,7 @@ def test_classes_isoforms_and_loci(spark):
     assert got == {"full": ("full", 3, 3), "subset": ("partial", 2, 2), "n1": ("partial", 2, 1), "n2": ("partial", 2, 1)}
     fresh, found = novel.novel_transcriptome(reads, reference, 64)
     assert [(r["chain"], r["start"], r["end"], r["n_reads"]) for r in fresh.collect()] == [("100,400", 5, 500, 2)]  # two reads reach 5, one reaches 0
+    assert [r["gene"] for r in fresh.collect()] == ["G"]
     assert [r["name"] for r in found.collect()] == ["LOC1|2|d:0-130"]
 
 
