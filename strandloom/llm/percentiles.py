@@ -128,4 +128,5 @@ def day_and_union_percentiles(df: DataFrame, identity: list[str], day: str, by:
     scoped = days.select(F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), e.cast("string").alias("period")) for s, e in unions.items()])).alias("_u"), by, "metric", "value", "weight")
     united = combine(scoped.select("_u.scope", "_u.period", by, "metric", "value", "weight"), ["scope", "period", by])
     picked = multi_select(united, ["scope", "period", by], percents)
+    discard(days)  # the result is read from the groups and pivots
     return picked.groupBy("scope", "period", by, "metric", "n").agg(*[F.max(F.when(F.col("pct") == p, F.col("value"))).alias(f"p{p}") for p in percents])
