@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import argparse
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,7 +63,7 @@ def analyze(spark: SparkSession, source: str, out: str, names: list[str] | None
         tables.build_tables(spark, source, folder, annotation, genome)
     inputs, queries = _inputs(spark, folder), plans.queries() | _error_tables()
     possible = [n for needs, wanted in SECTIONS.values() if inputs.issuperset(needs) for n in wanted]
-    report.write_report({n: queries[n](spark, folder) for n in names or possible}, out, {"input": source, "annotation": annotation, "genome": genome})
+    report.write_report(spark, {n: partial(queries[n], spark, folder) for n in names or possible}, out, {"input": source, "annotation": annotation, "genome": genome})
 
 
 def compare(spark: SparkSession, reports: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,7 +77,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs only a re-read. The table is dropped
-    by :func:`discard` or when the driver ends.
+    by :func:`discard`, at the end of a :func:`scope` or when the driver ends.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -87,6 +89,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Drops, at its end, every table that was written by :func:`materialize` within it.
+
+    Put it around a query and the writing of its result, as a driver that lives long should:
+    results are read from such tables, so they can't be dropped before.
+    """
+    held = [path for _, path in _written]
+    try:
+        yield
+    finally:
+        for spark, path in [x for x in _written if x[1] not in held]:
+            _delete(spark, path)
+            _written.remove((spark, path))
+
+
 def discard(df: DataFrame) -> None:
     """Drop a table of :func:`materialize` that nothing reads any more."""
     path = getattr(df, "_strandloom_path", None)

@@ -7,10 +7,12 @@ import gzip
 import html
 import json
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.session import scope
 from strandloom.sources.formats import from_bed12, write_lines
 
 MANIFEST = "manifest"
@@ -18,12 +20,17 @@ MANIFEST = "manifest"
 INLINE_ROWS = 5000
 
 
-def write_report(tables: dict[str, DataFrame], path: str, params: dict[str, object] | None = None) -> None:
-    """Write every table as parquet under ``path`` and the manifest (name, columns) and parameters beside them."""
-    spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    rows = [(name, json.dumps(df.dtypes)) for name, df in tables.items()]
+def write_report(spark: SparkSession, tables: dict[str, Callable[[], DataFrame]], path: str, params: dict[str, object] | None = None) -> None:
+    """Write every table as parquet under ``path`` and the manifest (name, columns) and parameters beside them.
+
+    Tables are made one by one, so that what each of them needs in between is dropped once it is written.
+    """
+    rows = []
+    for name, make in tables.items():
+        with scope():
+            df = make()
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            rows.append((name, json.dumps(df.dtypes)))
     spark.createDataFrame(rows, "name string, columns string").coalesce(1).write.mode("overwrite").json(f"{path}/{MANIFEST}")
     spark.createDataFrame([(k, str(v)) for k, v in (params or {}).items()], "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/params")
 

@@ -9,7 +9,7 @@ from strandloom.streaming import ingest
 def test_report_folder_and_summary(spark, tmp_path):
     path = str(tmp_path / "run")
     small = spark.createDataFrame([("a", 1), ("<b>", None)], "k string, n long")
-    report.write_report({"counts": small, "ids": spark.range(report.INLINE_ROWS + 1)}, path, {"seed": 1})
+    report.write_report(spark, {"counts": lambda: small, "ids": lambda: spark.range(report.INLINE_ROWS + 1)}, path, {"seed": 1})
     assert [r["name"] for r in report.list_tables(spark, path).collect()] == ["counts", "ids"]
     assert sorted(map(tuple, report.read_table(spark, path, "counts").collect()), key=str) == [("<b>", None), ("a", 1)]
     with pytest.raises(KeyError):
@@ -68,7 +68,7 @@ def test_analyze_and_compare(spark, sf, tmp_path):
 def test_summary_keeps_whole_tables_by_section(spark, tmp_path):
     path = str(tmp_path / "run")
     many = report.INLINE_ROWS
-    report.write_report({"whole": spark.range(many).repartition(3), "large": spark.range(many + 1), "other": spark.range(2)}, path)
+    report.write_report(spark, {"whole": lambda: spark.range(many).repartition(3), "large": lambda: spark.range(many + 1), "other": lambda: spark.range(2)}, path)
     report.write_summary(spark, path, str(tmp_path / "s.xhtml"), sections={"First": ["whole", "absent"], "None": ["absent"]})
     text = open(tmp_path / "s.xhtml").read()
     assert text.count("<tr>") == many + 1 + 3 and f"{many + 1} rows" in text
@@ -81,6 +81,22 @@ def test_bed12_table_as_genepred_lines(spark, tmp_path):
     from strandloom.sources import formats
 
     t = spark.createDataFrame([("G", "T", "c", "+", 5, 40, 5, 40, 2, "5,30,", "10,40,")], "gene string, tx string, chrom string, strand string, tx_start long, tx_end long, cds_start long, cds_end long, exon_count int, exon_starts string, exon_ends string")
-    report.write_report({"bed": formats.to_bed12(t)}, str(tmp_path / "run"))
+    report.write_report(spark, {"bed": lambda: formats.to_bed12(t)}, str(tmp_path / "run"))
     report.extract_lines(spark, str(tmp_path / "run"), "bed", str(tmp_path / "out"), genepred=True)
     assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["T\tT\tc\t+\t5\t40\t5\t40\t2\t5,30,\t10,40,"]
+
+
+def test_a_scope_drops_what_was_written_in_it(spark):
+    import os
+
+    from strandloom import session
+
+    kept = session.materialize(spark.range(3), "kept")
+    with session.scope():
+        gone = session.materialize(spark.range(4), "gone")
+        with session.scope():
+            inner = session.materialize(spark.range(5), "inner")
+        assert not os.path.exists(inner._strandloom_path) and gone.count() == 4
+    assert not os.path.exists(gone._strandloom_path) and kept.count() == 3
+    session.discard(kept)
+    assert not os.path.exists(kept._strandloom_path)
