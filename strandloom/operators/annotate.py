@@ -63,10 +63,17 @@ def reference_counts(reference: DataFrame, annotated: DataFrame, key: str) -> Da
     return reference.select(key).distinct().join(counts, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n_reads"), F.coalesce("f", F.lit(0)).alias("n_full"))
 
 
-def detected(counts: DataFrame, level: str) -> DataFrame:
-    """One row: how many of the reference's keys are detected, by any and by full matches."""
-    n = counts.agg(F.count("*").alias("n_reference"), F.count_if(F.col("n_reads") > 0).alias("n_any"), F.count_if(F.col("n_full") > 0).alias("n_full"))
-    return n.select(F.lit(level).alias("level"), "n_reference", "n_any", "n_full", ratio("n_any", "n_reference").alias("any_share"), percent_text("n_full", "n_reference").alias("full_percent"))
+def detected(reference: DataFrame, annotated: DataFrame, levels: list[str]) -> DataFrame:
+    """A row per level (column of keys): how many of the reference's keys are detected, by any and by full matches.
+
+    All levels are counted in one pass over the annotations.
+    """
+    key = F.explode(F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).alias("key")) for c in levels])).alias("x")
+    full = F.max(F.when(F.col("match_type") == "full", 1).otherwise(0)).alias("full")
+    seen = annotated.select("match_type", key).select("match_type", "x.*").filter("key is not null").groupBy("level", "key").agg(full)
+    every = reference.select(key).select("x.*").filter("key is not null").distinct().join(seen, ["level", "key"], "left")
+    n = every.groupBy("level").agg(F.count("*").alias("n_reference"), F.count("full").alias("n_any"), F.count_if(F.col("full") == 1).alias("n_full"))
+    return n.select("level", "n_reference", "n_any", "n_full", ratio("n_any", "n_reference").alias("any_share"), percent_text("n_full", "n_reference").alias("full_percent"))
 
 
 def top_keys(annotated: DataFrame, key: str, n: int = 5) -> DataFrame:

@@ -98,21 +98,23 @@ def cell_distribution(cells: DataFrame) -> DataFrame:
     return freq.select("measure", "value", "n", F.sum("n").over(Window.partitionBy("measure").orderBy("value")).alias("rank"))
 
 
-def length_statistics(lengths: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """(keys, n, average, median, n50, stddev) of the positive values of a column.
+def length_statistics(lengths: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, metric, n, average, median, n50, stddev) of the positive values of each of the columns.
 
-    Everything is taken from value frequencies: the window for N50 runs over distinct
-    lengths, not over reads. N50 is the length at which, from the longest down, half
-    of all bases are reached.
+    Everything is taken from value frequencies, for all columns in one pass: the window
+    for N50 runs over distinct lengths, not over reads. N50 is the length at which, from
+    the longest down, half of all bases are reached.
     """
-    freq = lengths.filter(F.col(column) > 0).groupBy(*keys, F.col(column).alias("v")).agg(F.count("*").alias("w"))
-    down = Window.partitionBy(*keys).orderBy(F.col("v").desc())
+    by = [*keys, "metric"]
+    stacked = to_rows(lengths.select(*keys, *columns), keys, "metric", "v").filter("v > 0")
+    freq = stacked.groupBy(*by, "v").agg(F.count("*").alias("w"))
+    down = Window.partitionBy(*by).orderBy(F.col("v").desc())
     bases = F.col("v") * F.col("w")
-    run = freq.withColumn("upto", F.sum(bases).over(down)).withColumn("all", F.sum(bases).over(Window.partitionBy(*keys)))
+    run = freq.withColumn("upto", F.sum(bases).over(down)).withColumn("all", F.sum(bases).over(Window.partitionBy(*by)))
     n = F.sum("w")
     mean = F.sum(bases) / n
     spread = F.sum(F.col("w") * F.col("v").cast("double") * F.col("v")) - n * mean * mean
-    return run.groupBy(*keys).agg(
+    return run.groupBy(*by).agg(
         n.alias("n"), F.round(mean, 6).alias("average"), F.percentile("v", 0.5, F.col("w")).alias("median"),
         F.max(F.when(2 * F.col("upto") >= F.col("all"), F.col("v"))).alias("n50"), F.round(F.sqrt(F.try_divide(spread, n - 1)), 3).alias("stddev"),
     )
@@ -121,9 +123,10 @@ def length_statistics(lengths: DataFrame, keys: list[str], column: str) -> DataF
 def compare_runs(lengths: DataFrame, run: str) -> DataFrame:
     """One row per run with read counts, length statistics and ratios, for comparing runs side by side."""
     basic = alignment_stats(lengths, [run])
-    every = length_statistics(lengths, [run], "qlen").select(run, *[F.col(c).alias(f"read_{c}") for c in ("average", "median", "n50", "stddev")])
-    aligned = length_statistics(lengths, [run], "total_bases").select(run, *[F.col(c).alias(f"aligned_{c}") for c in ("average", "median", "n50", "stddev")])
-    return basic.join(every, run, "left").join(aligned, run, "left").select(
+    names = {"qlen": "read", "total_bases": "aligned"}
+    wide = [F.max(F.when(F.col("metric") == c, F.col(x))).alias(f"{n}_{x}") for c, n in names.items() for x in ("average", "median", "n50", "stddev")]
+    sizes = length_statistics(lengths, [run], list(names)).groupBy(run).agg(*wide)
+    return basic.join(sizes, run, "left").select(
         run, F.col("TOTAL_READS").alias("reads"), "read_average", "read_median", "read_n50", "read_stddev", F.col("ALIGNED_READS").alias("aligned_reads"), ratio("ALIGNED_READS", "TOTAL_READS").alias("aligned_share"),
         "aligned_average", "aligned_median", "aligned_n50", "aligned_stddev", ratio("CHIMERA_ALIGN_READS", "ALIGNED_READS").alias("chimera_share"),
         ratio("TRANSCHIMERA_ALIGN_READS", "CHIMERA_ALIGN_READS").alias("transchimera_share"), ratio("SELFCHIMERA_ALIGN_READS", "CHIMERA_ALIGN_READS").alias("selfchimera_share"),

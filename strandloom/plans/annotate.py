@@ -34,8 +34,7 @@ def ref_gene_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ref_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = [annotate.detected(annotate.reference_counts(_reference(spark, sf_dir), _annotated(spark, sf_dir), k), k) for k in ("gene", "tx")]
-    return both[0].unionByName(both[1])
+    return annotate.detected(_reference(spark, sf_dir), _annotated(spark, sf_dir), ["gene", "tx"])
 
 
 def top_genes(spark: SparkSession, sf_dir: str) -> DataFrame:

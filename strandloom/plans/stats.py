@@ -38,9 +38,7 @@ def cell_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inputs.lengths(spark, sf_dir)
-    both = [stats.length_statistics(rows, [], c).withColumn("metric", F.lit(c)) for c in ("qlen", "total_bases")]
-    return both[0].unionByName(both[1])
+    return stats.length_statistics(inputs.lengths(spark, sf_dir), [], ["qlen", "total_bases"])
 
 
 def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
