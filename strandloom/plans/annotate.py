@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.functions import bins
 from strandloom.operators import annotate, sampling, stats
 from strandloom.plans import inputs, sql
 from strandloom.session import table
@@ -68,6 +69,11 @@ def exon_size_distro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.transcripts(spark, sf_dir).select("tx", size.alias("length"), F.size("exons").alias("exon_count"))
 
 
+def exon_plot_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and exon count of each reference transcript on the scale of the plots, with the length as their labels have it."""
+    return exon_size_distro(spark, sf_dir).select("tx", *[F.round(bins.log2_plus_one(c), 6).alias(f"log_{c}") for c in ("length", "exon_count")], bins.with_commas("length").alias("label"))
+
+
 def exon_count_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exon_size_distro(spark, sf_dir).withColumn("kind", F.lit("transcript"))
     return stats.histogram(rows, "length", "exon_count", "kind")
@@ -130,7 +136,7 @@ def length_budget_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    gene_counts, ref_gene_counts, ref_detected, top_genes, top_transcripts, gene_tx_grouping, annot_lengths, annot_length_hist, tx_length_hist, exon_size_distro, exon_count_hist, read_classes,
+    gene_counts, ref_gene_counts, ref_detected, top_genes, top_transcripts, gene_tx_grouping, annot_lengths, annot_length_hist, tx_length_hist, exon_size_distro, exon_plot_sizes, exon_count_hist, read_classes,
     known_isoform_filter, bias_read_filter, contained_reads, *map(_curve, _CURVES), bias_downsample, gene_downsample, length_budget_sample,
 )
 
@@ -165,6 +171,7 @@ ORACLES = {
     "annot_length_hist": f"WITH {_AL} {_hist('al', 'length', 'exon_count', 'status')}",
     "tx_length_hist": f"WITH {_A}, h AS (SELECT * FROM a WHERE gene IS NOT NULL AND match_type IS NOT NULL) {_hist('h', 'tx_length', 'tx_exons', 'match_type')}",
     "exon_size_distro": f"WITH {sql.EXONS} SELECT tx, CAST(sum(e - s) AS BIGINT) AS length, CAST(count(*) AS INTEGER) AS exon_count FROM gx GROUP BY tx",
+    "exon_plot_sizes": f"WITH {sql.EXONS}, d AS (SELECT tx, CAST(sum(e - s) AS BIGINT) AS length, count(*) AS n FROM gx GROUP BY tx) SELECT tx, round(log2(length) + 1, 6) AS log_length, round(log2(n) + 1, 6) AS log_exon_count, format('{{:,}}', length) AS label FROM d",
     "exon_count_hist": f"WITH {sql.EXONS}, h AS (SELECT 'transcript' AS kind, sum(e - s) AS length, count(*) AS c FROM gx GROUP BY tx) {_hist('h', 'length', 'c', 'kind')}",
     "read_classes": f"WITH {_CLASSES} SELECT * FROM cl",
     "known_isoform_filter": f"WITH {_CLASSES} SELECT read_name, read_exons, read_length FROM b WHERE read_name NOT IN (SELECT read_name FROM cl WHERE class IN ('full', 'subset'))",
