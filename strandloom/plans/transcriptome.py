@@ -12,6 +12,8 @@ from strandloom.sources import formats
 
 #: Tile of the exon joins: a few exons long on these coordinates.
 TILE = 512
+#: Tile of the join of read exons with features, which may be as long as a chromosome.
+FEATURE_TILE = 1 << 14
 MIN_DEPTH = 2
 CONTEXT_SEEN = 5_000
 
@@ -26,9 +28,9 @@ def exon_read_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = exons.groupBy("tx", "chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     ends = exons.select("chrom", "end").unionByName(read_exons.select("chrom", "end"))
     genome = ends.groupBy("chrom").agg(F.lit(0).cast("long").alias("start"), F.max("end").alias("end"))
-    features = intervals.layers({"exon": exons, "intron": tx, "intergenic": genome}, ["chrom"], 1 << 14).withColumnsRenamed({"start": "r_start", "end": "r_end"})
+    features = intervals.layers({"exon": exons, "intron": tx, "intergenic": genome}, ["chrom"]).withColumnsRenamed({"start": "r_start", "end": "r_end"})
     sizes = fixtures.reads(spark, sf_dir).select(F.col("read_name").alias("qname"), F.col("read_length").alias("length"), "exon_count")
-    overlap = coverage.overlap_of(read_exons.select(F.col("read_name").alias("qname"), "chrom", "start", "end"), "qname", features, "kind", TILE)
+    overlap = coverage.overlap_of(read_exons.select(F.col("read_name").alias("qname"), "chrom", "start", "end"), "qname", features, "kind", FEATURE_TILE)
     return reads.assign_feature(overlap, sizes.drop("exon_count")).join(sizes.select("qname", "exon_count"), "qname")
 
 

@@ -11,7 +11,19 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+#: Queries that have no rows on the smallest tables.
+LARGER = ["bias_bins", "bias_bins_trimmed", "bias_box", "novel_isoforms", "nr_isoforms"]
+
+
+@pytest.mark.parametrize("name", LARGER)
+def test_query_equals_its_sql_on_larger_tables(spark, name):
+    sf = "/root/testdata/sf0.01"
+    con = connect(sf)
+    assert con.execute(ORACLES[name]).fetchone()
+    assert_same(spark, sf, con, plans.queries()[name], ORACLES[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - set(LARGER)))
 def test_query_equals_its_sql(spark, sf, con, name):
     assert_same(spark, sf, con, plans.queries()[name], ORACLES[name])
 
