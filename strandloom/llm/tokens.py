@@ -28,7 +28,7 @@ _WIDE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White
 _ASCII = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+""")
 
 #: Text per dictionary chunk, in characters, and distinct words at which a chunk ends early.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 8_000_000
 CHUNK_WORDS = 400_000
 
 
