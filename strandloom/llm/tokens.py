@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import SparkFiles, TaskContext
@@ -192,23 +193,38 @@ def encode_corpus(docs: DataFrame, doc_id: str, text: str, vocabulary: str | Non
     return out.select(F.col("doc").alias(doc_id), "ids")
 
 
-def token_table(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
-    """(id, bytes) of every token: as many rows as the vocabulary has, read by the driver and sent with the plan."""
+def token_table(vocabulary: str | None = None) -> list[bytes]:
+    """The bytes of every token in order of id; empty for ids that the vocabulary lacks."""
     with open(vocabulary or vocabulary_path(), "rb") as f:
-        rows = [line.split() for line in f if line.strip()]
-    return spark.createDataFrame(pa.table({"id": pa.array([int(n) for _, n in rows], pa.int32()), "bytes": pa.array([base64.b64decode(t) for t, _ in rows], pa.binary())}))
+        rows = {int(n): base64.b64decode(t) for t, n in map(bytes.split, f)}
+    return [rows.get(i, b"") for i in range(max(rows) + 1)]
 
 
 def decode_corpus(encoded: DataFrame, doc_id: str, ids: str, vocabulary: str | None = None) -> DataFrame:
     """Texts of token ids, by a join with the table of token bytes: (doc_id, text).
 
-    Lists of ids are spread by document once; its tokens then keep to their task. The
-    token table has as many rows as the vocabulary (50,256), so it may be broadcast.
-    doc_id has to be unique. An empty list gives an empty text, a null list null.
+    The table has as many rows as the vocabulary (50,256, 0.4 MB), so every task has it
+    and joins a batch of documents' ids at once, by place; nothing is shuffled. An empty
+    list gives an empty text, a null list null; a repeated or null doc_id keeps its row;
+    ids that the vocabulary lacks give nothing, and bytes that are no UTF-8 the
+    replacement character.
     """
-    rows = encoded.select(F.col(doc_id).alias("doc"), F.col(ids).alias("ids")).repartition("doc")
-    at = rows.select("doc", F.col("ids").isNull().alias("none"), F.posexplode_outer("ids").alias("pos", "id"))
-    joined = at.join(F.broadcast(token_table(encoded.sparkSession, vocabulary)), "id", "left")
-    texts = joined.groupBy("doc", "none").agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "bytes")))).alias("got"))
-    text = F.expr("decode(unhex(array_join(transform(got, x -> hex(x.bytes)), '')), 'utf-8')")
-    return texts.select(F.col("doc").alias(doc_id), F.when(~F.col("none"), text).alias("text"))
+    shared = encoded.sparkSession.sparkContext.broadcast(token_table(vocabulary))
+    rows = encoded.select(F.col(doc_id).alias("doc"), F.col(ids).alias("ids"))
+    doc_type = rows.schema["doc"].dataType.simpleString()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array([*shared.value, b""], pa.large_binary())
+        unknown = len(table) - 1
+        for b in batches:
+            lists = b.column("ids")
+            flat = lists.flatten().fill_null(unknown).to_numpy(zero_copy_only=False)
+            found = table.take(pa.array(np.where((flat < 0) | (flat > unknown), unknown, flat)))
+            offsets = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
+            data = memoryview(found.buffers()[2] or b"")
+            ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()))
+            cuts = offsets[ends].tolist()
+            texts = [bytes(data[i:j]).decode(errors="replace") if known else None for i, j, known in zip(cuts, cuts[1:], lists.is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(texts, pa.string())], ["doc", "text"])
+
+    return rows.mapInArrow(join, f"doc {doc_type}, text string").select(F.col("doc").alias(doc_id), "text")

@@ -55,5 +55,9 @@ def test_more_distinct_words_than_two_bytes_can_number(spark):
 
 
 def test_decoding_null_and_empty_lists(spark):
-    df = spark.createDataFrame([(1, None), (2, []), (3, [64, 275]), (None, [64])], "doc_id long, ids array<int>")
-    assert {r["doc_id"]: r["text"] for r in tokens.decode_corpus(df, "doc_id", "ids").collect()} == {1: None, 2: "", 3: "a b", None: "a"}
+    rows = [(1, None), (2, []), (3, [64, 275]), (None, [64]), (3, [275] * 30_000), (4, [64] * 12_000), (5, []), (6, None), (7, [60_000, 64])]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    want = [(1, None), (2, ""), (3, "a b"), (None, "a"), (3, " b" * 30_000), (4, "a" * 12_000), (5, ""), (6, None), (7, "a")]
+    for parts in (1, 4):
+        got = [tuple(r) for r in tokens.decode_corpus(df.coalesce(1).repartition(parts), "doc_id", "ids").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
