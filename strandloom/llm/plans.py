@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import leaks, percentiles, sampling, splitting, tokens, topn
-from strandloom.session import table
+from strandloom.session import materialize, table
 
 SAMPLE_READS = 1000
 
@@ -40,8 +40,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts again, decoded from their ids; null texts come back empty."""
-    return tokens.decode_corpus(p6_ids(spark, sf_dir), "doc_id", "ids")
+    """The texts again, decoded from their ids; null texts come back empty.
+
+    The ids are written in between, so that a task doesn't put documents together and decode them at once.
+    """
+    return tokens.decode_corpus(materialize(p6_ids(spark, sf_dir), "ids"), "doc_id", "ids")
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
