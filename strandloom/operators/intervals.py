@@ -99,7 +99,8 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], tile: int)
 
     Both sides are joined on (keys, tile); a pair is kept in the tile where its
     intersection begins only, so that none comes twice. Choose ``tile`` about as long
-    as a common interval of the larger side.
+    as a common interval of the larger side. A tile with very many rows of one side is
+    split by AQE's skew join where a shuffle follows, as one does in all groupings here.
     """
     a = _clean(left, keys).withColumn("_tile", F.explode(F.sequence(F.expr(f"start div {tile}"), F.expr(f"(end - 1) div {tile}"))))
     b = _clean(right, keys, "r_start", "r_end").withColumn("_tile", F.explode(F.sequence(F.expr(f"r_start div {tile}"), F.expr(f"(r_end - 1) div {tile}"))))
